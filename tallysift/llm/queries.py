@@ -7,9 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tallysift.llm.mixing import op7_mix_sources
+from tallysift.llm.warc import OP2_SQL, op2_warc_members
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_warc_members": op2_warc_members,
     "op7_mix_sources": op7_mix_sources,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op2_warc_members": OP2_SQL,
+}
