@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tallysift.llm.decontaminate import op6_benchmark_decontamination
 from tallysift.llm.html import op8_html_extraction
 from tallysift.llm.kneser_ney import op4_quality_classifier
 from tallysift.llm.media import op5_media_columns
@@ -16,6 +17,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_warc_members": op2_warc_members,
     "op4_quality_classifier": op4_quality_classifier,
     "op5_media_columns": op5_media_columns,
+    "op6_benchmark_decontamination": op6_benchmark_decontamination,
     "op7_mix_sources": op7_mix_sources,
     "op8_html_extraction": op8_html_extraction,
 }
