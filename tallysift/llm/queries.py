@@ -9,11 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 from tallysift.llm.decontaminate import op6_benchmark_decontamination
 from tallysift.llm.html import op8_html_extraction
 from tallysift.llm.kneser_ney import op4_quality_classifier
+from tallysift.llm.line_dedup import op1_line_dedup
 from tallysift.llm.media import op5_media_columns
 from tallysift.llm.mixing import op7_mix_sources
 from tallysift.llm.warc import OP2_SQL, op2_warc_members
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_line_dedup": op1_line_dedup,
     "op2_warc_members": op2_warc_members,
     "op4_quality_classifier": op4_quality_classifier,
     "op5_media_columns": op5_media_columns,
