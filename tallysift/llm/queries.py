@@ -12,11 +12,13 @@ from tallysift.llm.kneser_ney import op4_quality_classifier
 from tallysift.llm.line_dedup import op1_line_dedup
 from tallysift.llm.media import op5_media_columns
 from tallysift.llm.mixing import op7_mix_sources
+from tallysift.llm.signature_join import op3_jaccard_join
 from tallysift.llm.warc import OP2_SQL, op2_warc_members
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_warc_members": op2_warc_members,
+    "op3_jaccard_join": op3_jaccard_join,
     "op4_quality_classifier": op4_quality_classifier,
     "op5_media_columns": op5_media_columns,
     "op6_benchmark_decontamination": op6_benchmark_decontamination,
