@@ -13,6 +13,7 @@ from tallysift.llm.line_dedup import op1_line_dedup
 from tallysift.llm.media import op5_media_columns
 from tallysift.llm.mixing import op7_mix_sources
 from tallysift.llm.signature_join import op3_jaccard_join
+from tallysift.llm.suffix_dedup import op10_suffix_dedup
 from tallysift.llm.warc import OP2_SQL, op2_warc_members
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -24,6 +25,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_benchmark_decontamination": op6_benchmark_decontamination,
     "op7_mix_sources": op7_mix_sources,
     "op8_html_extraction": op8_html_extraction,
+    "op10_suffix_dedup": op10_suffix_dedup,
 }
 
 ORACLES: dict[str, str] = {
