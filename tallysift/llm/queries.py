@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tallysift.llm.decontaminate import op6_benchmark_decontamination
 from tallysift.llm.html import op8_html_extraction
 from tallysift.llm.kneser_ney import op4_quality_classifier
+from tallysift.llm import licenses
 from tallysift.llm.line_dedup import op1_line_dedup
 from tallysift.llm.media import op5_media_columns
 from tallysift.llm.mixing import op7_mix_sources
@@ -25,9 +26,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_benchmark_decontamination": op6_benchmark_decontamination,
     "op7_mix_sources": op7_mix_sources,
     "op8_html_extraction": op8_html_extraction,
+    "op9_license_scan": licenses.op9_license_scan,
     "op10_suffix_dedup": op10_suffix_dedup,
 }
 
 ORACLES: dict[str, str] = {
     "op2_warc_members": OP2_SQL,
+    "op9_license_scan": licenses.oracle(),
 }
