@@ -176,6 +176,25 @@ def _closer(spare: DataFrame, gap: DataFrame) -> DataFrame:
     )
 
 
+def copies_of(docs: DataFrame, seed: str = "mix-") -> DataFrame:
+    """docs, all columns, each row as often as ``mix`` takes it, with copy_no from 1."""
+    size = words(F.col("text"))
+    items = docs.select("doc_id", size.alias("size"), "source", F.lit(None).cast("double").alias("appeal"))
+    plan = settle(mix(items, seed).filter("copies > 0").select("doc_id", "size", "source", "twin", "copies"), "mix-plan")
+    # rows that agree in doc_id, size and source are interchangeable
+    names = [c for c in docs.columns if c != "copy_no"]
+    same = Window.partitionBy("doc_id", "source", "_size").orderBy("doc_id")
+    rows = docs.select(*names, size.alias("_size")).withColumn("_twin", F.row_number().over(same))
+    key = (
+        rows["doc_id"].eqNullSafe(plan["doc_id"])
+        & rows["source"].eqNullSafe(plan["source"])
+        & (rows["_size"] == plan["size"])
+        & (rows["_twin"] == plan["twin"])
+    )
+    taken = rows.join(plan, key).select(*[rows[c] for c in names], plan["copies"])
+    return taken.withColumn("copy_no", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).drop("copies")
+
+
 def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     items = docs.select("doc_id", words(F.col("text")).alias("size"), "source", F.lit(None).cast("double").alias("appeal"))

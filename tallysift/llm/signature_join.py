@@ -234,7 +234,7 @@ LINKS = "src long, dst long"
 
 
 def jaccard_components(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
-    """(doc_id, t, n_shingles, set_a, set_b, component_id) of every row of (doc_id, text).
+    """(doc_id, t, n_shingles, component, component_id) of every row of (doc_id, text).
 
     component_id is the least doc_id reachable by links of Jaccard similarity >= num / den, the row's
     own included; null ids come last. Texts without words (null, empty, blank) have 0 shingles and their own
@@ -320,9 +320,9 @@ def jaccard_components(docs: DataFrame, width: int, num: int, den: int) -> DataF
     linked = named.join(comps.select(F.col("node").alias("set_a"), "root"), "set_a", "left").withColumn("root", F.coalesce("root", "set_a"))
     linked = settle(linked, "jaccard-roots")
     least = linked.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    columns = ["doc_id", "t", "n_shingles", "set_a", "set_b", "component_id"]
-    empty = rows.filter("n_shingles = 0").withColumn("component_id", F.col("doc_id"))
-    return linked.join(least, "root").select(columns).unionByName(empty.select(columns))
+    columns = ["doc_id", "t", "n_shingles", "component", "component_id"]
+    empty = rows.filter("n_shingles = 0").withColumn("component_id", F.col("doc_id")).withColumn("component", F.lit(None).cast("long"))
+    return linked.join(least, "root").withColumnRenamed("root", "component").select(columns).unionByName(empty.select(columns))
 
 
 def home_of(members: DataFrame):
@@ -360,6 +360,25 @@ def _across(spark: SparkSession, wide: DataFrame, found: DataFrame, links) -> Da
     return settle(found.unionByName(links(left.unionByName(right), "root", "block", "chunk")), "jaccard-links")
 
 
+def keep_first(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
+    """docs, all columns, with one row of each group of ``jaccard_components``: the first by doc_id and a hash of the text.
+
+    Texts without words are in no group and stay. Rows that agree in doc_id and text are one document, of
+    which one row stays if it has words. Only rows of groups of several rows are shuffled.
+    """
+    rows = jaccard_components(docs.select("doc_id", "text"), width, num, den)
+    rows = rows.filter("n_shingles > 0").select(F.struct("doc_id", "t").alias("row"), "component")
+    groups = rows.groupBy("component").agg(F.count("*").alias("n"), F.min("row").alias("first")).filter("n > 1")
+    wide = settle(rows.distinct().join(groups, "component").select("row", (F.col("row").eqNullSafe(F.col("first"))).alias("stays")), "near-groups")
+    row = F.struct(F.col("doc_id"), F.xxhash64("text").alias("t"))
+    split = maybe_in(docs, row, bitset(wide, "row"))
+    names = docs.columns
+    touched = split.filter("maybe").withColumn("_row", row).join(wide.select(F.col("row").alias("_of"), "stays"), F.col("_row").eqNullSafe(F.col("_of")), "left")
+    same = Window.partitionBy("_row").orderBy(*[F.col(c) for c in names if c != "text"])
+    touched = touched.withColumn("_n", F.row_number().over(same)).filter("stays is null or (stays and _n = 1)")
+    return split.filter(~F.col("maybe")).select(names).unionByName(touched.select(names))
+
+
 def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return jaccard_components(docs, width=3, num=90, den=100).select("doc_id", "n_shingles", "component_id")
