@@ -100,7 +100,6 @@ class Bands:
 
     def parts(self, band: int) -> int:
         """Parts that sets of this band and the one below are dealt into."""
-        self.of(self.starts[-1])
         while len(self.starts) < band + 2:
             self.of(self.starts[-1])
         most = 2 * (self.starts[band + 1] - 1)
