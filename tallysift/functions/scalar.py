@@ -163,7 +163,7 @@ def sequence_number(stem: Column) -> Column:
 
 
 def float_list(text: Column) -> Column:
-    parts = F.filter(F.transform(F.split(text, ","), F.trim), lambda x: x != "")
+    parts = F.filter(F.transform(F.split(text, ","), lambda x: F.trim(x)), lambda x: x != "")
     return F.transform(parts, lambda x: x.cast("double"))
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
+from datetime import datetime
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -29,11 +30,27 @@ DETAILS = (
 HISTORY = "epoch int, train_loss double, val_loss double, precision_0_5 double, recall_0_5 double, f1_0_5 double"
 
 
+FILES = "path string, image_name string, length bigint, modified timestamp"
+
+
+def empty_files(spark: SparkSession, path: str, recursive: bool = True) -> DataFrame:
+    """(path, image_name, length, modified) of files without bytes, which the binary reader leaves out."""
+    jvm = spark.sparkContext._jvm
+    root = jvm.org.apache.hadoop.fs.Path(path)
+    listing = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listFiles(root, recursive)
+    found = []
+    while listing.hasNext():
+        status = listing.next()
+        if not status.getLen():
+            found.append((status.getPath().toString(), status.getPath().getName(), 0, datetime.fromtimestamp(status.getModificationTime() / 1000)))
+    return spark.createDataFrame(found, FILES)
+
+
 def list_images(spark: SparkSession, path: str, extensions: Iterable[str] = EXTENSIONS, recursive: bool = True, exclude: str | None = None, unique: bool = True) -> DataFrame:
     """(path, image_name, length, modified). Contents are not read. ``unique``: fail if a name occurs twice."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(path)
     name = F.substring_index("path", "/", -1)
-    out = files.select("path", name.alias("image_name"), "length", F.col("modificationTime").alias("modified"))
+    out = files.select("path", name.alias("image_name"), "length", F.col("modificationTime").alias("modified")).unionByName(empty_files(spark, path, recursive))
     out = out.filter(F.lower(F.substring_index("image_name", ".", -1)).isin(*[e.lower() for e in extensions]))
     if exclude:
         out = out.filter(~F.contains("image_name", F.lit(exclude)))

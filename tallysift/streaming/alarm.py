@@ -16,8 +16,6 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from tallysift.operators.windows import COOLDOWN, DANGER, WARNING
 
 OUT = "camera string, frame_idx bigint, ts timestamp, hit boolean, count int, cooldown int, level string"
-#: Time for which a camera without frames keeps its state.
-IDLE_MS = 3_600_000
 
 
 def step(count: int, cooldown: int, level: str, hit: bool) -> tuple[int, int, str]:
@@ -39,8 +37,11 @@ def step(count: int, cooldown: int, level: str, hit: bool) -> tuple[int, int, st
 
 
 class Alarm(StatefulProcessor):
+    def __init__(self, idle_ms: int | None = None):
+        self.idle_ms = idle_ms
+
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("alarm", "count int, cooldown int, level string", IDLE_MS)
+        self.state = handle.getValueState("alarm", "count int, cooldown int, level string", self.idle_ms)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         count, cooldown, level = self.state.get() if self.state.exists() else (0, 0, "safe")
@@ -61,15 +62,16 @@ def confident(detections, least: float = 0.5, wanted: int = 0):
     return F.coalesce(F.exists(detections, lambda d: (d["class_id"] == wanted) & (d["score"] >= least)), F.lit(False))
 
 
-def alarm_stream(frames: DataFrame, delay: str = "10 seconds") -> DataFrame:
+def alarm_stream(frames: DataFrame, delay: str = "10 seconds", idle_ms: int | None = None) -> DataFrame:
     """A row a frame of the stream (camera, frame_idx, ts, hit), with the state after it.
 
-    Needs the RocksDB state store provider.
+    ``idle_ms`` drops the state of cameras without frames for so long, by processing time; a query with it
+    runs batches without data too. Needs the RocksDB state store provider.
     """
     return (
         frames.withWatermark("ts", delay)
         .groupBy("camera")
-        .transformWithStateInPandas(Alarm(), outputStructType=OUT, outputMode="Append", timeMode="ProcessingTime")
+        .transformWithStateInPandas(Alarm(idle_ms), outputStructType=OUT, outputMode="Append", timeMode="ProcessingTime" if idle_ms else "None")
     )
 
 
