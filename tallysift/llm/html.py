@@ -53,10 +53,11 @@ class Line:
 
 
 class Lines(HTMLParser):
-    """Collects the lines of a page."""
+    """Collects the lines of a page. ``lenient``: a dropped subtree ends where an article begins."""
 
-    def __init__(self):
+    def __init__(self, lenient: bool = False):
         super().__init__(convert_charrefs=True)
+        self.lenient = lenient
         self.lines: list[Line] = []
         self.parts: list[str] = []
         self.tags = 0
@@ -94,8 +95,7 @@ class Lines(HTMLParser):
             if tag == self.skipped:
                 self.nested += 1
                 return
-            # a subtree that was never closed ends where a region begins
-            if not (tag in REGIONS and not self.regions and not self.unwanted(tag, attrs)):
+            if not (self.lenient and tag in REGIONS and not self.regions and not self.unwanted(tag, attrs)):
                 return
             self.skipped = ""
         if tag not in INLINE:
@@ -122,8 +122,6 @@ class Lines(HTMLParser):
                 self.nested -= 1
                 if self.nested < 0:
                     self.skipped = ""
-            elif tag in ("body", "html"):
-                self.skipped = ""
             return
         if tag not in INLINE:
             self.flush()
@@ -155,14 +153,22 @@ def content_lines(lines: list[Line]) -> list[bool]:
     return [r >= min(deviation, max(ratios)) for r in ratios]
 
 
+def parsed(html: str, lenient: bool = False) -> Lines:
+    page = Lines(lenient)
+    page.feed(html)
+    page.close()
+    page.flush()
+    return page
+
+
 def main_text(html: str | None) -> str:
     """The main text: blocks in page order, a newline between them. Null, empty or textless: ''."""
     if not html:
         return ""
-    page = Lines()
-    page.feed(html)
-    page.close()
-    page.flush()
+    page = parsed(html)
+    if page.skipped and not any(x.region for x in page.lines):
+        # a dropped element was never closed, and took the article with it
+        page = parsed(html, lenient=True)
     lines = page.lines
     if not lines:
         return ""
