@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tallysift.llm.decontaminate import op6_benchmark_decontamination
 from tallysift.llm.html import op8_html_extraction
 from tallysift.llm.kneser_ney import op4_quality_classifier
-from tallysift.llm import licenses
+from tallysift.llm import licenses, oracles
 from tallysift.llm.line_dedup import op1_line_dedup
 from tallysift.llm.media import op5_media_columns
 from tallysift.llm.mixing import op7_mix_sources
@@ -31,6 +31,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op3_jaccard_join": oracles.JACCARD,
+    "op7_mix_sources": oracles.MIXING,
+    "op10_suffix_dedup": oracles.SUBSTRINGS,
     "op2_warc_members": OP2_SQL,
     "op9_license_scan": licenses.oracle(),
 }
