@@ -208,16 +208,16 @@ def tree_links(left: Tree, right: Tree | None, label_left: np.ndarray, label_rig
     return found
 
 
-def _links_in(rows: pa.Table, num: int, den: int) -> pa.Table:
-    """Links of a block: rows (id, side, comp, tokens); sides 0 and 1 are joined if both occur, else the one with itself."""
+def _links_in(rows: pa.Table, width: int, num: int, den: int) -> pa.Table:
+    """Links of a block: rows (id, side, comp, text); sides 0 and 1 are joined if both occur, else the one with itself."""
     seen: dict[tuple[int, int], tuple] = {}
-    for key, side, comp, tokens in zip(*(rows.column(c).to_pylist() for c in ("id", "side", "comp", "tokens")), strict=True):
-        seen.setdefault((side, key), (comp, np.frombuffer(tokens, np.uint64)))
+    for key, side, comp, text in zip(*(rows.column(c).to_pylist() for c in ("id", "side", "comp", "text")), strict=True):
+        seen.setdefault((side, key), (comp, text))
     numbers: dict[int, int] = {}
     sides = []
     for side in (0, 1):
         keys = [k for s, k in seen if s == side]
-        tree = Tree([seen[side, k][1] for k in keys])
+        tree = Tree(shingle_sets([seen[side, k][1] for k in keys], width))
         labels = np.array([numbers.setdefault(seen[side, k][0], len(numbers)) for k in keys], np.int64)[tree.order] if keys else np.zeros(0, np.int64)
         sides.append(([keys[i] for i in tree.order], tree, labels))
     (ka, ta, la), (kb, tb, lb) = sides
@@ -239,7 +239,6 @@ def jaccard_components(docs: DataFrame, width: int, num: int, den: int) -> DataF
     own included; null ids come last. Texts without words (null, empty, blank) have 0 shingles and their own
     doc_id. Rows that repeat are rows of one class. t is a hash of the text.
     """
-    spark = docs.sparkSession
     texts = docs.select("doc_id", F.xxhash64("text").alias("t"), "text")
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -281,39 +280,26 @@ def jaccard_components(docs: DataFrame, width: int, num: int, den: int) -> DataF
     )
     groups = settle(connected_components(settle(met, "jaccard-met")), "jaccard-groups")
 
-    # the sets of all classes in candidate groups, each from one row
+    # the text of each class in a candidate group, from one row, and its block; sets are made where they meet
     classes = rows.filter("n_shingles > 0").groupBy(F.col("set_a").alias("node")).agg(
         F.min(F.struct("doc_id", "t")).alias("home"), F.max("n_shingles").alias("n")
     )
-    members = settle(groups.join(classes, "node").select("node", "root", "home", "n"), "jaccard-members")
+    members = groups.join(classes, "node").select(F.col("node").alias("id"), "root", "home", "n")
+    members = settle(members, "jaccard-members")
     sizes = members.groupBy("root").agg((F.floor(F.sum("n") / BLOCK_TOKENS) + 1).cast("int").alias("blocks"))
-
-    def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for _, some in _chunks(batch, 0):
-                sets = shingle_sets(some, width)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([identity(s)[0] for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["id", "tokens"]
-                )
-
+    block = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block")
+    members = settle(members.join(sizes, "root").select("id", "root", "home", "n", "blocks", block), "jaccard-blocks")
     home = F.struct("doc_id", "t")
-    some = maybe_in(texts, home, bitset(members.select(home_of(members).alias("h")), "h")).filter("maybe")
-    sets = some.select("text").mapInArrow(collect, "id long, tokens binary")
-    placed = (
-        sets.join(members.select(F.col("node").alias("id"), "root"), "id")
-        .join(sizes, "root")
-        .withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    )
-    placed = settle(placed.select("id", "tokens", "root", "blocks", "block"), "jaccard-placed")
+    some = maybe_in(texts.select("text", home.alias("at")), F.col("at"), bitset(members, "home")).filter("maybe")
+    placed = some.join(members, F.col("at").eqNullSafe(F.col("home"))).select("id", "text", "n", "root", "blocks", "block")
 
     def links(frame: DataFrame, *keys: str) -> DataFrame:
-        return frame.groupBy(*keys).applyInArrow(lambda t: _links_in(t, num, den), LINKS)
+        return frame.groupBy(*keys).applyInArrow(lambda t: _links_in(t, width, num, den), LINKS)
 
-    alone = placed.select("id", "tokens", "root", "block", F.lit(0).alias("side"), F.col("id").alias("comp"))
+    alone = placed.select("id", "text", "root", "block", F.lit(0).alias("side"), F.col("id").alias("comp"))
     found = settle(links(alone, "root", "block"), "jaccard-links")
-    wide = placed.filter("blocks > 1")
-    if not wide.isEmpty():
-        found = _across(spark, wide, found, links)
+    if not members.filter("blocks > 1").isEmpty():
+        found = _across(settle(placed.filter("blocks > 1"), "jaccard-placed"), found, links)
     comps = connected_components(found)
     named = rows.filter("n_shingles > 0").select("doc_id", "t", "n_shingles", "set_a", "set_b")
     linked = named.join(comps.select(F.col("node").alias("set_a"), "root"), "set_a", "left").withColumn("root", F.coalesce("root", "set_a"))
@@ -324,11 +310,7 @@ def jaccard_components(docs: DataFrame, width: int, num: int, den: int) -> DataF
     return linked.join(least, "root").withColumnRenamed("root", "component").select(columns).unionByName(empty.select(columns))
 
 
-def home_of(members: DataFrame):
-    return F.struct(F.col("home.doc_id").alias("doc_id"), F.col("home.t").alias("t"))
-
-
-def _across(spark: SparkSession, wide: DataFrame, found: DataFrame, links) -> DataFrame:
+def _across(wide: DataFrame, found: DataFrame, links) -> DataFrame:
     """Links between the blocks of groups that have several."""
 
     def comps_now() -> DataFrame:
@@ -341,21 +323,21 @@ def _across(spark: SparkSession, wide: DataFrame, found: DataFrame, links) -> Da
     now = comps_now()
     # one member of each component of each block, in blocks again
     firsts = now.groupBy("root", "block", "comp").agg(F.min_by("id", F.xxhash64("id")).alias("id"))
-    reps = firsts.join(now.select("id", "tokens", "blocks"), "id")
-    reps = reps.select("root", F.pmod(F.xxhash64("id", F.lit(1)), F.ceil(F.sqrt("blocks"))).cast("int").alias("block"), "id", "tokens", F.lit(0).alias("side"), "comp")
+    reps = firsts.join(now.select("id", "text", "blocks").dropDuplicates(["id"]), "id")
+    reps = reps.select("root", F.pmod(F.xxhash64("id", F.lit(1)), F.ceil(F.sqrt("blocks"))).cast("int").alias("block"), "id", "text", F.lit(0).alias("side"), "comp")
     found = settle(found.unionByName(links(reps, "root", "block")), "jaccard-links")
     now = comps_now()
     # members outside the largest component of their group against every block of it
-    sizes = now.groupBy("root", "comp").agg(F.count("*").alias("n"))
-    tops = sizes.groupBy("root").agg(F.max(F.struct("n", "comp")).alias("top"), F.count("*").alias("m")).filter("m > 1")
+    sizes = now.groupBy("root", "comp").agg(F.count("*").alias("m"))
+    tops = sizes.groupBy("root").agg(F.max(F.struct("m", "comp")).alias("top"), F.count("*").alias("comps")).filter("comps > 1")
     open_ = settle(now.join(tops.select("root", F.col("top.comp").alias("top")), "root"), "jaccard-open")
     small = open_.filter("comp <> top")
-    totals = small.groupBy("root").agg((F.floor(F.sum(F.octet_length("tokens")) / (8 * BLOCK_TOKENS)) + 1).cast("int").alias("chunks"))
+    totals = small.groupBy("root").agg((F.floor(F.sum("n") / BLOCK_TOKENS) + 1).cast("int").alias("chunks"))
     small = small.join(totals, "root").withColumn("chunk", F.pmod(F.xxhash64("id", F.lit(2)), F.col("chunks")).cast("int"))
     against = small.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    left = against.select("root", "block", "chunk", "id", "tokens", F.lit(0).alias("side"), "comp")
+    left = against.select("root", "block", "chunk", "id", "text", F.lit(0).alias("side"), "comp")
     right = open_.join(totals, "root").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    right = right.select("root", "block", "chunk", "id", "tokens", F.lit(1).alias("side"), "comp")
+    right = right.select("root", "block", "chunk", "id", "text", F.lit(1).alias("side"), "comp")
     return settle(found.unionByName(links(left.unionByName(right), "root", "block", "chunk")), "jaccard-links")
 
 
