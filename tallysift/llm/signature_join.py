@@ -91,6 +91,7 @@ class Bands:
 
     def __init__(self, num: int, den: int):
         self.num, self.den, self.starts = num, den, [1]
+        self.known: dict[int, tuple[int, int]] = {}
 
     def of(self, size: int) -> int:
         while self.starts[-1] <= size:
@@ -98,25 +99,41 @@ class Bands:
             self.starts.append(max(s + 1, -(-s * self.den // self.num)))
         return int(np.searchsorted(self.starts, size, side="right")) - 1
 
-    def parts(self, band: int) -> int:
-        """Parts that sets of this band and the one below are dealt into."""
-        while len(self.starts) < band + 2:
-            self.of(self.starts[-1])
-        most = 2 * (self.starts[band + 1] - 1)
-        return most * (self.den - self.num) // (self.den + self.num) + 1
+    def parts(self, band: int) -> tuple[int, int]:
+        """Parts that sets of this band and the one below are dealt into, and the most tokens in which two may differ.
+
+        There are enough parts for more of them to have tokens than two sets can differ in, at nearly all sets.
+        """
+        if band not in self.known:
+            while len(self.starts) < band + 2:
+                self.of(self.starts[-1])
+            most = 2 * (self.starts[band + 1] - 1) * (self.den - self.num) // (self.den + self.num)
+            least, n = self.starts[max(band - 1, 0)], most + 1
+            while n < 2 * most + 1:
+                empty = n * float(np.exp(-least / n))
+                if n - empty - 3 * empty**0.5 > most:
+                    break
+                n += 1
+            self.known[band] = (n, most)
+        return self.known[band]
 
     def keys(self, tokens: np.ndarray) -> np.ndarray:
-        """Part hashes of a set under the dealings of its band and of the next."""
+        """Part hashes of a set under the dealings of its band and of the next.
+
+        Of two sets that link, at most ``most`` parts differ. If a set has tokens in more parts than that, one of these
+        is equal in the other, and its empty parts need no key; else its empty parts have keys too.
+        """
         band, out = self.of(len(tokens)), []
         for scheme in (band, band + 1):
-            n = self.parts(scheme)
+            n, most = self.parts(scheme)
             part = (tokens >> np.uint64(20)) % np.uint64(n)
             order = np.argsort(part, kind="stable")
             at = np.searchsorted(part[order], np.arange(n + 1))
             run = np.zeros(len(tokens) + 1, np.uint64)
             np.cumsum(mixed(tokens[order]), out=run[1:])
-            total = run[at[1:]] - run[at[:-1]]
-            out.append(mixed(total + mixed(np.arange(n, dtype=np.uint64) + np.uint64(scheme << 32)) + np.diff(at).astype(np.uint64)))
+            total, size = run[at[1:]] - run[at[:-1]], np.diff(at)
+            key = mixed(total + mixed(np.arange(n, dtype=np.uint64) + np.uint64(scheme << 32)) + size.astype(np.uint64))
+            out.append(key[size > 0] if (size > 0).sum() > most else key)
         return np.concatenate(out).view(np.int64)
 
 
