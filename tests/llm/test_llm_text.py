@@ -219,6 +219,16 @@ def test_long_line_simhash(spark, monkeypatch):
     assert {r["doc_id"]: r["sim"] for r in line_dedup.line_classes(frame).collect()} == whole
 
 
+def test_simhash_has_all_words(spark):
+    """Bit j is set where more than half of the hashes of all words have it, short words included."""
+    line = "lantern meadow thunder basket orchard of the an it so we"
+    words = spark.createDataFrame([(w,) for w in line.split()], "w string").select(F.xxhash64("w").alias("h"))
+    hashes = [r["h"] & ((1 << 64) - 1) for r in words.collect()]
+    want = sum(1 << j for j in range(64) if 2 * sum(h >> j & 1 for h in hashes) > len(hashes))
+    got = line_dedup.line_classes(spark.createDataFrame([(1, line)], "doc_id long, text string")).first()["sim"]
+    assert got & ((1 << 64) - 1) == want
+
+
 # --- language model ------------------------------------------------------------------------------------------
 
 
