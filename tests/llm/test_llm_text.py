@@ -229,6 +229,13 @@ def test_simhash_has_all_words(spark):
     assert got & ((1 << 64) - 1) == want
 
 
+def test_short_lines_are_exact_classes(spark, tmp_path):
+    rows = [(1, "And ornd.\n---\nlone"), (2, "and  ORND\n---\n你好世界"), (3, "你好世界。\nand ornt\n***")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r["doc_id"]: r["text"] for r in line_dedup.op1_line_dedup(spark, str(tmp_path)).collect()}
+    assert got == {1: rows[0][1], 2: "---\n你好世界", 3: "and ornt\n***"}
+
+
 # --- language model ------------------------------------------------------------------------------------------
 
 
