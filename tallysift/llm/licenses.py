@@ -1,7 +1,8 @@
 """Licence scan by sentences, with DataFrame functions only.
 
 Texts are cut into sentences, normalised (lower case, runs of other characters than a to z and 0 to 9 become
-a space) and mapped to identifiers of known licence sentences. The identifiers of a document, in
+a space) and mapped to identifiers of known licence sentences. A sentence may be wrapped over lines, with comment
+prefixes; it may also begin or end at any line end. The identifiers of a document, in
 order, are matched against ordered rules: a rule is a sequence of identifiers; rules come longest
 first, and what a rule has matched is not matched again.
 
@@ -78,12 +79,35 @@ def plain(sentence: str) -> str:
     return re.sub("[^a-z0-9]+", " ", sentence.lower()).strip(" ")
 
 
+#: Marks of sentence ends that no known sentence goes over, and of single line ends.
+END, WRAP = "\x01", "\n"
+
+
+def pattern() -> str:
+    """Regular expression of all known sentences between marks, longer ones first; blanks in them may be line ends."""
+    forms = []
+    for s in sorted(SENTENCES.values(), key=lambda s: (-len(plain(s)), s)):
+        # a sentence may itself hold a stop before a blank, where the text is cut as well
+        parts = [plain(x).replace(" ", f"[ {WRAP}]") for x in re.split("[.!?;:][ \t]+", s)]
+        forms.append(f"[ {WRAP}{END}]".join(parts))
+    return f"(?<=[{WRAP}{END}])(?:{'|'.join(forms)})(?=[{WRAP}{END}])"
+
+
+def marked(text: Column) -> Column:
+    """Normal form of a text: words, with ``END`` at .!?;: before a blank or line end and at empty lines, ``WRAP`` at other line ends."""
+    bare = F.regexp_replace(F.lower(text), "(^|\n)[ \t]*(?:;+|!+|:+|rem|dnl)[ \t]+", "$1")
+    # a line without letters a to z and digits is empty
+    cut = F.regexp_replace(bare, "[.!?;:](?=[ \t\r\f\x0b\n]|$)|\n[^a-z0-9\n]*(?=\n)", END)
+    words = F.regexp_replace(cut, f"[^a-z0-9{WRAP}{END}]+", " ")
+    ends = F.regexp_replace(words, f" ?{WRAP}? ?{END}[ {WRAP}{END}]*", END)
+    return F.concat(F.lit(END), F.regexp_replace(F.trim(ends), f" ?{WRAP} ?", WRAP), F.lit(END))
+
+
 def sentence_ids(text: Column) -> Column:
-    """Identifiers of the known sentences of a text, in order. A sentence ends at a line end or at .!?;: before a blank."""
+    """Identifiers of the known sentences of a text, in order. Of sentences that begin at one place the longest counts."""
     known = F.create_map(*[F.lit(x) for name, s in SENTENCES.items() for x in (plain(s), name)])
-    lines = F.split(F.regexp_replace(text, "([.!?;:])[ \t\r\f\x0b]+", "$1\n"), "\n")
-    names = F.transform(lines, lambda s: F.try_element_at(known, F.trim(F.regexp_replace(F.lower(s), "[^a-z0-9]+", " "))))
-    return F.filter(names, lambda x: x.isNotNull())
+    found = F.regexp_extract_all(marked(text), F.lit(pattern()), F.lit(0))
+    return F.transform(found, lambda s: F.element_at(known, F.translate(s, WRAP + END, "  ")))
 
 
 def scan(docs: DataFrame) -> DataFrame:

@@ -396,6 +396,32 @@ def test_licences(spark):
     assert licenses.scan(frame.limit(0)).count() == 0
 
 
+def test_wrapped_licences(spark):
+    import textwrap
+
+    s = licenses.SENTENCES
+    wrap = lambda *names, prefix="", width=60: "\n".join(textwrap.fill(s[n], width, initial_indent=prefix, subsequent_indent=prefix) for n in names)
+    mit = ("mit-grant", "mit-notice", "mit-asis")
+    bsd = "\n\n".join(textwrap.fill(f"{k}. {s[n]}" if k else s[n], 70, subsequent_indent="   ") for k, n in enumerate(("bsd-redist", "bsd-source", "bsd-binary", "bsd-name")))
+    rows = [
+        (1, "MIT License\n\nCopyright (c) 2020 Somebody\n\n" + wrap(*mit) + " IN NO EVENT\nSHALL THE AUTHORS BE LIABLE.\n"),
+        (2, "/*\n" + wrap(*mit, prefix=" * ").replace("\n", "\r\n") + "\r\n */\nint main;"),
+        (3, bsd),
+        (4, wrap("gpl-redist", "gpl-hope", prefix="# ", width=50)),
+        (5, s["gpl-redist"] + "\n" + s["gpl-hope"]),
+        (6, wrap("apache-the", "apache-may", "apache-obtain", prefix=";; ", width=40) + "\n\n    http://www.apache.org/licenses/LICENSE-2.0"),
+        (7, "Released under the MIT.\nLicense."),
+        (8, "Released under the MIT\n\nLicense."),
+        (9, "released under\nthe MIT License\nby all"),
+        (10, "x\nAll rights\nreserved\nLicensed under CC0\n1.0."),
+        (11, "SPDX-License-Identifier: MIT"),
+        (12, "All rights reserved or not"),
+    ]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["licences"] for r in licenses.scan(frame).collect()}
+    assert got == {1: "MIT", 2: "MIT", 3: "BSD-3-Clause", 4: "GPL-3.0-or-later", 5: "GPL-3.0-or-later", 6: "Apache-2.0", 9: "MIT", 10: "All-rights-reserved,CC0-1.0", 11: "MIT"}
+
+
 def test_digest_of_kept(spark, docs):
     out = suffix_dedup.dedup_substrings(docs).select("kept", F.sha2("kept", 256).alias("h")).collect()
     assert all(hashlib.sha256(bytes(r["kept"])).hexdigest() == r["h"] for r in out)
