@@ -236,6 +236,41 @@ def test_short_lines_are_exact_classes(spark, tmp_path):
     assert got == {1: rows[0][1], 2: "---\n你好世界", 3: "and ornt\n***"}
 
 
+def test_near_lines_are_found(spark, tmp_path):
+    """Pairs of edit similarity 0.8 or more, by brute force, of lines of several lengths: nearly all lose the later line."""
+
+    def edits(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+        return row[-1]
+
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randrange(2, 9)))
+    rows, kinds = [], {}
+    for n in (6, 8, 15, 30, 60):
+        for _ in range(40):
+            a = [word() for _ in range(n)]
+            b = list(a)
+            for at in rng.sample(range(n), max(1, n // 7)):
+                b[at] = word()
+            a, b = " ".join(a), " ".join(b)
+            if a != b and edits(a, b) <= 0.2 * max(len(a), len(b)):
+                kinds.setdefault(n, []).append(len(rows) + 1)
+                rows += [(len(rows), a), (len(rows) + 1, b)]
+    han = "".join(chr(0x4E00 + rng.randrange(2000)) for _ in range(60))
+    rows += [(9000, han), (9001, han[:30] + "x" + han[31:])]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    out = {r["doc_id"]: r["n_dropped"] for r in line_dedup.op1_line_dedup(spark, str(tmp_path)).collect()}
+    found = {n: sum(out[i] for i in ids) / len(ids) for n, ids in kinds.items()}
+    assert min(len(ids) for ids in kinds.values()) >= 10
+    assert min(found.values()) >= 0.9 and out[9001] == 1, found
+    later = {i for ids in kinds.values() for i in ids} | {9001}
+    assert not any(n for i, n in out.items() if i not in later)
+
+
 # --- language model ------------------------------------------------------------------------------------------
 
 
