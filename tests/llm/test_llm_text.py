@@ -316,6 +316,23 @@ def test_quality(spark):
     assert kneser_ney.classify(docs.limit(0), trusted).count() == 0
 
 
+def test_every_language_has_its_own_threshold(spark):
+    """Each threshold lies between the language's quantile and that of all, nearer to its own the more documents it has."""
+    rng = random.Random(5)
+    count = {"en": 150, "de": 40, "fr": 5}
+    rows = [(k, prose(rng, 40) if lang == "en" else " ".join(w[::-1] for w in prose(rng, 40).split()), lang) for k, lang in enumerate(x for x, n in count.items() for _ in range(n))]
+    rows += [(900, prose(rng, 40), "xx")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    out = kneser_ney.classify(docs, docs.filter("lang <> 'xx'").select("doc_id")).collect()
+    scores = {x: [r["score"] for r in out if r["lang"] == x] for x in count}
+    every = np.quantile(sum(scores.values(), []), kneser_ney.QUANTILE)
+    limits = {r["lang"]: r["threshold"] for r in out}
+    assert limits["xx"] == pytest.approx(every + kneser_ney.MARGIN)
+    for x, n in count.items():
+        own = np.quantile(scores[x], kneser_ney.QUANTILE)
+        assert limits[x] == pytest.approx((n * own + 20 * every) / (n + 20) + kneser_ney.MARGIN)
+
+
 # --- benchmark -----------------------------------------------------------------------------------------------
 
 
