@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallysift.session import settle
+from tallysift.session import discard, settle
 
 
 def _mark(edges: DataFrame) -> tuple:
@@ -37,7 +37,9 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         small = large.join(lowest, F.col("hi") == F.col("c")).select("lo", "root").filter("lo <> root").select(
             F.col("lo").alias("hi"), F.col("root").alias("lo")
         )
+        last = pairs
         pairs = settle(small.unionByName(lowest.select(F.col("c").alias("hi"), F.col("root").alias("lo"))).distinct(), "components")
+        discard(last)
         before, mark = mark, _mark(pairs)
         if mark == before:
             break

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 
@@ -33,7 +32,8 @@ def session(app: str = "tallysift", master: str | None = None, **conf: str) -> S
 def scratch(spark: SparkSession, name: str) -> str:
     """A new folder URI under ``spark.checkpoint.dir``, which all executors share.
 
-    Where the setting is unset (tests, a laptop) a temporary folder is set for the session.
+    Where the setting is unset, a temporary folder is set for a session in local mode (tests, a laptop); on a
+    cluster that is an error. A folder without a scheme is one of Hadoop's default file system.
     """
     ctx = spark.sparkContext
     root = spark.conf.get("spark.checkpoint.dir", None) or ctx.getConf().get("spark.checkpoint.dir")
@@ -41,12 +41,15 @@ def scratch(spark: SparkSession, name: str) -> str:
         jvm_dir = ctx._jsc.sc().getCheckpointDir()
         root = jvm_dir.get() if jvm_dir.isDefined() else None
     if not root:
+        if not ctx.master.startswith("local") or ctx.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="tallysift-")
         ctx.setCheckpointDir(root)
     elif not ctx._jsc.sc().getCheckpointDir().isDefined():
         ctx.setCheckpointDir(root)
     if "://" not in root and not root.startswith("file:"):
-        root = "file://" + os.path.abspath(root)
+        path = ctx._jvm.org.apache.hadoop.fs.Path(root)
+        root = path.getFileSystem(ctx._jsc.hadoopConfiguration()).makeQualified(path).toString()
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
 
 
@@ -55,7 +58,17 @@ def settle(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._settled_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes the folders of settled tables, once what was made of them has been settled itself."""
+    for df in tables:
+        ctx = df.sparkSession.sparkContext
+        path = ctx._jvm.org.apache.hadoop.fs.Path(df._settled_at)
+        path.getFileSystem(ctx._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
