@@ -7,6 +7,10 @@ from pyspark.sql import functions as F
 
 #: Rows of a filter: 64 bits each, 1 MB in all, whatever it was made from.
 CELLS = 1 << 16
+#: What names of columns that operators add for themselves begin with: no column of an input does.
+OWN = "__tallysift_"
+#: The column that ``maybe_in`` adds.
+MAYBE = OWN + "maybe"
 
 
 def _place(key: Column) -> tuple[Column, Column]:
@@ -22,11 +26,11 @@ def bitset(keys: DataFrame, key: str) -> DataFrame:
 
 
 def maybe_in(rows: DataFrame, key: Column, bits: DataFrame) -> DataFrame:
-    """Adds column maybe: false only for rows whose key is certainly not in the set. No shuffle of ``rows``."""
+    """Adds column ``MAYBE``: false only for rows whose key is certainly not in the set. No shuffle of ``rows``."""
     cell, bit = _place(key)
     return (
-        rows.withColumn("_cell", cell)
-        .join(F.broadcast(bits.select(F.col("cell").alias("_c"), F.col("bits").alias("_bits"))), F.col("_cell") == F.col("_c"), "left")
-        .withColumn("maybe", F.coalesce(F.getbit(F.col("_bits"), bit) == 1, F.lit(False)))
-        .drop("_cell", "_c", "_bits")
+        rows.withColumn(OWN + "cell", cell)
+        .join(F.broadcast(bits.select(F.col("cell").alias(OWN + "c"), F.col("bits").alias(OWN + "bits"))), F.col(OWN + "cell") == F.col(OWN + "c"), "left")
+        .withColumn(MAYBE, F.coalesce(F.getbit(F.col(OWN + "bits"), bit) == 1, F.lit(False)))
+        .drop(OWN + "cell", OWN + "c", OWN + "bits")
     )

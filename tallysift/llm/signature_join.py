@@ -2,12 +2,20 @@
 
 A document's set holds 64-bit hashes of its distinct word shingles. Equal sets are one class.
 
-Candidates (exact): two sets with Jaccard similarity of at least ``num / den`` differ in at most
+Candidates (exact), by parts: two sets with Jaccard similarity of at least ``num / den`` differ in at most
 ``(den - num) / (den + num)`` of their sizes' sum. Tokens are dealt by hash into one part more than
 that difference can have at a size, so such sets agree in at least one whole part. Sizes are banded
 so that both sets of a pair are dealt the same way. Only part hashes are shuffled.
 
-Verification: classes that share a part form candidate groups. A group is cut into blocks of bounded
+Candidates (exact), by prefixes: where parts would hold fewer than ``PART_TOKENS`` tokens, they would often agree by
+chance, and the tokens themselves are shuffled instead. In any one order of all tokens, linked sets share one
+among the first ``size - ceil(size * num / den) + 1`` of each. The order puts tokens of a single set first, so a set
+takes part only if so many of its tokens occur elsewhere that a link is possible.
+
+Rows that share a key within a task's batch leave it as one row of that key, so that a key of a third of all rows
+is spread.
+
+Verification: classes that share a key form candidate groups. A group is cut into blocks of bounded
 size; in each block a signature tree is built, whose nodes hold the OR of their sets' token bitmaps,
 the range of sizes, and the largest number of tokens that share a bit with another token of their set.
 A dual traversal drops node pairs whose largest possible overlap is below what their sizes need, and
@@ -19,22 +27,26 @@ components is lost and no block meets all others.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tallysift.llm.bitset import bitset, maybe_in
+from tallysift.llm.bitset import MAYBE, OWN, bitset, maybe_in
 from tallysift.llm.textcodes import SYMBOL, UNBASE, flat, mixed, powers, span_hashes, sums, word_spans
 from tallysift.operators.components import connected_components
-from tallysift.session import settle, table
+from tallysift.session import discard, settle, table
 
 #: Bytes of text turned into arrays at once; a longer text is taken alone.
-BATCH_BYTES = 4 << 20
-#: Tokens of the sets of a block.
-BLOCK_TOKENS = 1 << 20
+BATCH_BYTES = 2 << 20
+#: Tokens of the sets of a block, and bytes of the texts they are made from.
+BLOCK_TOKENS, BLOCK_BYTES = 1 << 20, 4 << 20
+#: Bytes of the bitmaps of a block's sets.
+BITMAP_BYTES = 16 << 20
+#: Tokens that a part must hold on average; else prefixes of tokens are the candidates' keys.
+PART_TOKENS = 6
 #: Children of a tree node.
 FANOUT = 8
 #: Fixed odd multipliers of a shingle's words, by place.
@@ -66,16 +78,24 @@ def shingle_sets(texts: list[str | None], width: int) -> list[np.ndarray]:
     return out
 
 
-def _chunks(batch: pa.RecordBatch, column: int) -> Iterator[tuple[int, list[str | None]]]:
-    start, some, held = 0, [], 0
-    for text in batch.column(column).to_pylist():
+def _sized(texts: Iterable[str | None]) -> Iterator[list[str | None]]:
+    """Lists of texts of bounded size."""
+    some, held = [], 0
+    for text in texts:
         some.append(text)
         held += len(text or "")
         if held >= BATCH_BYTES:
-            yield start, some
-            start, some, held = start + len(some), [], 0
+            yield some
+            some, held = [], 0
     if some:
+        yield some
+
+
+def _chunks(batch: pa.RecordBatch, column: int) -> Iterator[tuple[int, list[str | None]]]:
+    start = 0
+    for some in _sized(x.as_py() for x in batch.column(column)):
         yield start, some
+        start += len(some)
 
 
 def identity(tokens: np.ndarray) -> tuple[int, int]:
@@ -146,7 +166,7 @@ class Tree:
         self.sets = [sets[i] for i in self.order]
         self.sizes = sizes[self.order]
         bits = 1 << max(9, int(4 * max(sizes, default=1) - 1).bit_length())
-        bits = min(bits, 1 << 15)
+        bits = min(bits, 1 << 15, 1 << max(9, (8 * BITMAP_BYTES // max(1, len(sets))).bit_length() - 1))
         maps = np.zeros((len(sets), bits // 64), np.uint64)
         for i, s in enumerate(self.sets):
             place = (s >> np.uint64(40)) % np.uint64(bits)
@@ -182,11 +202,20 @@ def tree_links(left: Tree, right: Tree | None, label_left: np.ndarray, label_rig
         return []
     found: list[tuple[int, int]] = []
 
+    members: dict[int, list[tuple[np.ndarray, int]]] = {}
+    for labels in (label_left,) if own else (label_left, label_right):
+        for i, x in enumerate(labels.tolist()):
+            members.setdefault(x, []).append((labels, i))
+
     def joined(a: int, b: int) -> None:
-        keep, gone = label_left[a], label_right[b]
-        label_left[label_left == gone] = keep
-        if not own:
-            label_right[label_right == gone] = keep
+        keep, gone = int(label_left[a]), int(label_right[b])
+        if keep == gone:
+            return
+        if len(members[keep]) < len(members[gone]):
+            keep, gone = gone, keep
+        for labels, i in members[gone]:
+            labels[i] = keep
+        members[keep] += members.pop(gone)
 
     def visit(level: int, other: int, i: int, j: int) -> None:
         x, y = left.levels[level], right.levels[other]
@@ -227,15 +256,17 @@ def tree_links(left: Tree, right: Tree | None, label_left: np.ndarray, label_rig
 
 def _links_in(rows: pa.Table, width: int, num: int, den: int) -> pa.Table:
     """Links of a block: rows (id, side, comp, text); sides 0 and 1 are joined if both occur, else the one with itself."""
-    seen: dict[tuple[int, int], tuple] = {}
-    for key, side, comp, text in zip(*(rows.column(c).to_pylist() for c in ("id", "side", "comp", "text")), strict=True):
-        seen.setdefault((side, key), (comp, text))
+    first: dict[tuple[int, int], int] = {}
+    for i, at in enumerate(zip(rows.column("side").to_pylist(), rows.column("id").to_pylist(), strict=True)):
+        first.setdefault(at, i)
+    comps, texts = rows.column("comp").to_pylist(), rows.column("text")
     numbers: dict[int, int] = {}
     sides = []
     for side in (0, 1):
-        keys = [k for s, k in seen if s == side]
-        tree = Tree(shingle_sets([seen[side, k][1] for k in keys], width))
-        labels = np.array([numbers.setdefault(seen[side, k][0], len(numbers)) for k in keys], np.int64)[tree.order] if keys else np.zeros(0, np.int64)
+        keys, at = [k for s, k in first if s == side], [i for (s, _), i in first.items() if s == side]
+        sets = [x for some in _sized(texts[i].as_py() for i in at) for x in shingle_sets(some, width)]
+        tree = Tree(sets)
+        labels = np.array([numbers.setdefault(comps[i], len(numbers)) for i in at], np.int64)[tree.order] if keys else np.zeros(0, np.int64)
         sides.append(([keys[i] for i in tree.order], tree, labels))
     (ka, ta, la), (kb, tb, lb) = sides
     if kb and ka:
@@ -246,6 +277,73 @@ def _links_in(rows: pa.Table, width: int, num: int, den: int) -> pa.Table:
     return pa.table({"src": pa.array([a for a, _ in pairs], pa.int64()), "dst": pa.array([b for _, b in pairs], pa.int64())})
 
 
+def _dealt(texts: DataFrame, width: int, keys_of: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
+    """(key, id, n): the keys of each set, once for each batch of a task.
+
+    Where several sets of a batch have a key, the first one has a row with their number n; the others have rows of n = 0
+    with the exclusive or of key and id as key, which deals them at random.
+    """
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done = set()
+        for batch in batches:
+            for _, some in _chunks(batch, 2):
+                keys, names = [], []
+                if len(done) > 1 << 20:
+                    done.clear()  # copies are dealt once a task as a saving, not as a condition
+                for tokens in shingle_sets(some, width):
+                    if not len(tokens) or (name := identity(tokens)) in done:
+                        continue
+                    done.add(name)
+                    keys.append(keys_of(tokens))
+                    names.append(np.full(len(keys[-1]), name[0], np.int64))
+                if not keys:
+                    continue
+                key, name = np.concatenate(keys), np.concatenate(names)
+                order = np.argsort(key)
+                key, name = key[order], name[order]
+                head = np.concatenate([[True], key[1:] != key[:-1]])
+                n = np.zeros(len(key), np.int32)
+                n[head] = np.diff(np.append(np.flatnonzero(head), len(key)))
+                yield pa.RecordBatch.from_arrays([pa.array(np.where(head, key, key ^ name)), pa.array(name), pa.array(n)], ["key", "id", "n"])
+
+    return texts.mapInArrow(deal, "key long, id long, n int")
+
+
+def _shared(dealt: DataFrame) -> DataFrame:
+    """(key, id) of keys of several ids, settled; a row may repeat."""
+    by_key = Window.partitionBy("key")
+    found = dealt.withColumn("shared", (F.max("n").over(by_key) > 1) | (F.min("id").over(by_key) != F.max("id").over(by_key)))
+    key = F.when(F.col("n") == 0, F.col("key").bitwiseXOR(F.col("id"))).otherwise(F.col("key"))
+    return settle(found.filter("n = 0 or shared").select(key.alias("key"), "id"), "jaccard-shared")
+
+
+def _stars(shared: DataFrame) -> DataFrame:
+    """Edges from the least id of each key to its others."""
+    least = shared.groupBy("key").agg(F.min("id").alias("src"))
+    return shared.join(least, "key").filter(F.col("id") != F.col("src")).select("src", F.col("id").alias("dst")).distinct()
+
+
+def _share_part(texts: DataFrame, width: int, num: int, den: int) -> DataFrame:
+    """Edges between classes that agree in a part."""
+    bands = Bands(num, den)
+    return _stars(_shared(_dealt(texts, width, bands.keys)))
+
+
+def _share_prefix(texts: DataFrame, classes: DataFrame, width: int, num: int, den: int) -> DataFrame:
+    """Edges between classes whose prefixes share a token."""
+    shared = _shared(_dealt(texts, width, lambda tokens: tokens.view(np.int64)))
+    of_set = Window.partitionBy("id")
+    ranked = (
+        shared.join(classes.select(F.col("node").alias("id"), "n"), "id")
+        .withColumn("rank", F.dense_rank().over(of_set.orderBy("key")))
+        .withColumn("known", F.max("rank").over(of_set))
+        # tokens of this set alone come before those
+        .withColumn("first", F.col("known") - F.ceil(F.col("n") * num / den) + 1)
+    )
+    return _stars(settle(ranked.filter("rank <= first").select("key", "id").distinct(), "jaccard-prefixes"))
+
+
 LINKS = "src long, dst long"
 
 
@@ -264,51 +362,34 @@ def jaccard_components(docs: DataFrame, width: int, num: int, den: int) -> DataF
                 sets = shingle_sets(some, width)
                 names = [identity(s) for s in sets]
                 part = batch.slice(start, len(some))
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), part.column(1), pa.array([len(s) for s in sets], pa.int64()), pa.array([a for a, _ in names], pa.int64()), pa.array([b for _, b in names], pa.int64())],
-                    ["doc_id", "t", "n_shingles", "set_a", "set_b"],
-                )
-
-    rows = settle(texts.mapInArrow(describe, "doc_id long, t long, n_shingles long, set_a long, set_b long"), "jaccard-sets")
-
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bands, done = Bands(num, den), set()
-        for batch in batches:
-            for _, some in _chunks(batch, 2):
-                keys, names = [], []
-                if len(done) > 1 << 20:
-                    done.clear()  # copies are dealt once a task as a saving, not as a condition
-                for tokens in shingle_sets(some, width):
-                    if not len(tokens) or (name := identity(tokens)) in done:
-                        continue
-                    done.add(name)
-                    keys.append(bands.keys(tokens))
-                    names.append(np.full(len(keys[-1]), name[0], np.int64))
-                if keys:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(names))], ["key", "id"])
+                numbers = [[len(s) for s in sets], [len(t or "") for t in some], [a for a, _ in names], [b for _, b in names]]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *(pa.array(x, pa.int64()) for x in numbers)], ["doc_id", "t", "n_shingles", "chars", "set_a", "set_b"])
 
-    by_key = Window.partitionBy("key")
-    dealt = texts.mapInArrow(deal, "key long, id long")
-    met = (
-        dealt.withColumn("least", F.min("id").over(by_key))
-        .filter(F.col("id") != F.col("least"))
-        .select(F.col("least").alias("src"), F.col("id").alias("dst"))
-        .distinct()
+    rows = settle(texts.mapInArrow(describe, "doc_id long, t long, n_shingles long, chars long, set_a long, set_b long"), "jaccard-sets")
+    # of each class one row stands for it
+    classes = rows.filter("n_shingles > 0").groupBy(F.col("set_a").alias("node")).agg(
+        F.min(F.struct("doc_id", "t", "chars")).alias("home"), F.max("n_shingles").alias("n")
     )
-    groups = settle(connected_components(settle(met, "jaccard-met")), "jaccard-groups")
+    if den + num >= 2 * PART_TOKENS * (den - num):
+        met = _share_part(texts, width, num, den)
+    else:
+        met = _share_prefix(texts, classes, width, num, den)
+    met = settle(met, "jaccard-met")
+    groups = settle(connected_components(met), "jaccard-groups")
 
     # the text of each class in a candidate group, from one row, and its block; sets are made where they meet
-    classes = rows.filter("n_shingles > 0").groupBy(F.col("set_a").alias("node")).agg(
-        F.min(F.struct("doc_id", "t")).alias("home"), F.max("n_shingles").alias("n")
+    members = groups.join(classes, "node").select(
+        F.col("node").alias("id"), "root", F.struct("home.doc_id", "home.t").alias("home"), "n", F.col("home.chars").alias("chars")
     )
-    members = groups.join(classes, "node").select(F.col("node").alias("id"), "root", "home", "n")
     members = settle(members, "jaccard-members")
-    sizes = members.groupBy("root").agg((F.floor(F.sum("n") / BLOCK_TOKENS) + 1).cast("int").alias("blocks"))
+    most = F.greatest(F.floor(F.sum("n") / BLOCK_TOKENS), F.floor(F.sum("chars") / BLOCK_BYTES))
+    sizes = members.groupBy("root").agg((most + 1).cast("int").alias("blocks"))
     block = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block")
-    members = settle(members.join(sizes, "root").select("id", "root", "home", "n", "blocks", block), "jaccard-blocks")
+    loose, members = members, settle(members.join(sizes, "root").select("id", "root", "home", "n", "chars", "blocks", block), "jaccard-blocks")
+    discard(met, groups, loose)
     home = F.struct("doc_id", "t")
-    some = maybe_in(texts.select("text", home.alias("at")), F.col("at"), bitset(members, "home")).filter("maybe")
-    placed = some.join(members, F.col("at").eqNullSafe(F.col("home"))).select("id", "text", "n", "root", "blocks", "block")
+    some = maybe_in(texts.select("text", home.alias("at")), F.col("at"), bitset(members, "home")).filter(MAYBE)
+    placed = some.join(members, F.col("at").eqNullSafe(F.col("home"))).select("id", "text", "n", "chars", "root", "blocks", "block")
 
     def links(frame: DataFrame, *keys: str) -> DataFrame:
         return frame.groupBy(*keys).applyInArrow(lambda t: _links_in(t, width, num, den), LINKS)
@@ -349,7 +430,8 @@ def _across(wide: DataFrame, found: DataFrame, links) -> DataFrame:
     tops = sizes.groupBy("root").agg(F.max(F.struct("m", "comp")).alias("top"), F.count("*").alias("comps")).filter("comps > 1")
     open_ = settle(now.join(tops.select("root", F.col("top.comp").alias("top")), "root"), "jaccard-open")
     small = open_.filter("comp <> top")
-    totals = small.groupBy("root").agg((F.floor(F.sum("n") / BLOCK_TOKENS) + 1).cast("int").alias("chunks"))
+    most = F.greatest(F.floor(F.sum("n") / BLOCK_TOKENS), F.floor(F.sum("chars") / BLOCK_BYTES))
+    totals = small.groupBy("root").agg((most + 1).cast("int").alias("chunks"))
     small = small.join(totals, "root").withColumn("chunk", F.pmod(F.xxhash64("id", F.lit(2)), F.col("chunks")).cast("int"))
     against = small.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     left = against.select("root", "block", "chunk", "id", "text", F.lit(0).alias("side"), "comp")
@@ -371,10 +453,13 @@ def keep_first(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
     row = F.struct(F.col("doc_id"), F.xxhash64("text").alias("t"))
     split = maybe_in(docs, row, bitset(wide, "row"))
     names = docs.columns
-    touched = split.filter("maybe").withColumn("_row", row).join(wide.select(F.col("row").alias("_of"), "stays"), F.col("_row").eqNullSafe(F.col("_of")), "left")
-    same = Window.partitionBy("_row").orderBy(*[F.col(c) for c in names if c != "text"])
-    touched = touched.withColumn("_n", F.row_number().over(same)).filter("stays is null or (stays and _n = 1)")
-    return split.filter(~F.col("maybe")).select(names).unionByName(touched.select(names))
+    marks = wide.select(F.col("row").alias(OWN + "of"), F.col("stays").alias(OWN + "stays"))
+    touched = split.filter(MAYBE).withColumn(OWN + "row", row).join(marks, F.col(OWN + "row").eqNullSafe(F.col(OWN + "of")), "left")
+    # maps have no order, but their text has
+    order = [F.col(c).cast("string") if "map<" in kind else F.col(c) for c, kind in docs.dtypes if c != "text"]
+    same = Window.partitionBy(OWN + "row").orderBy(*order)
+    touched = touched.withColumn(OWN + "n", F.row_number().over(same)).filter(f"{OWN}stays is null or ({OWN}stays and {OWN}n = 1)")
+    return split.filter(~F.col(MAYBE)).select(names).unionByName(touched.select(names))
 
 
 def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

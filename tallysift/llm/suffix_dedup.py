@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tallysift.llm.bitset import bitset, maybe_in
+from tallysift.llm.bitset import MAYBE, bitset, maybe_in
 from tallysift.llm.textcodes import SYMBOL, UNBASE, flat, mixed, powers, span_hashes, sums
 from tallysift.session import settle, table
 
@@ -364,7 +364,7 @@ def removed_windows(texts: DataFrame, least: int = LEAST) -> DataFrame:
     found = settle(candidates(keyed, least), "suffix-grams")
     hot = hot_grams(found)
     ranges = settle(found.groupBy("rid").agg(F.collect_list(F.struct("low", "high")).alias("ranges")), "suffix-candidates")
-    some = maybe_in(keyed, F.col("rid"), bitset(ranges, "rid")).filter("maybe").join(ranges, "rid")
+    some = maybe_in(keyed, F.col("rid"), bitset(ranges, "rid")).filter(MAYBE).join(ranges, "rid")
     # rows without a key are results already, and dealt at random
     deal = F.coalesce("key", F.xxhash64("doc", "t", "low"))
     dealt = cut_runs(some, least, hot).withColumn("deal", deal)
@@ -397,7 +397,7 @@ def dedup_substrings(docs: DataFrame, least: int = LEAST) -> DataFrame:
     )
     row = F.struct(F.coalesce("doc_id", F.lit(int(LAST))).alias("doc_id"), F.col("t"))
     split = maybe_in(texts, row, bitset(per, "row"))
-    touched = split.filter("maybe").withColumn("row", row).join(per, "row", "left")
+    touched = split.filter(MAYBE).withColumn("row", row).join(per, "row", "left")
     columns = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary"
 
     def strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -412,7 +412,7 @@ def dedup_substrings(docs: DataFrame, least: int = LEAST) -> DataFrame:
                     rows.append((doc, len(raw), len(raw) - len(kept), len(cut), kept))
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
-    whole = split.filter(~F.col("maybe")).select(
+    whole = split.filter(~F.col(MAYBE)).select(
         "doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.col("text").cast("binary").alias("kept")
     )
     return whole.unionByName(touched.select("doc_id", "text", "ranges").mapInArrow(strip, columns))
