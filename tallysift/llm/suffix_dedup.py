@@ -105,19 +105,27 @@ def _chunks(rows: list[tuple]) -> Iterator[list[tuple]]:
 
 
 def suffix_order(text: np.ndarray, depth: int) -> np.ndarray:
-    """Suffixes of a text of symbols below 2 ** 16, ordered by their first ``depth`` symbols at least."""
+    """Suffixes of a text of symbols below 512, ordered by their first ``depth`` symbols at least.
+
+    Seven symbols of nine bits are a key; the length that is sorted by doubles from there. The order of suffixes
+    that agree so far does not matter.
+    """
     n = len(text)
-    wide = np.zeros(n + 4, np.uint64)
+    wide = np.zeros(n + 6, np.uint64)
     wide[:n] = text
-    key = (wide[:n] << np.uint64(48)) | (wide[1 : n + 1] << np.uint64(32)) | (wide[2 : n + 2] << np.uint64(16)) | wide[3 : n + 3]
-    length = 4
+    key = wide[:n].copy()
+    for i in range(1, 7):
+        key = (key << np.uint64(9)) | wide[i : n + i]
+    length = 7
     while True:
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         ordered = key[order]
-        rank = np.empty(n, np.int64)
-        rank[order] = np.cumsum(np.concatenate([[0], (ordered[1:] != ordered[:-1]).astype(np.int64)]))
-        if length >= depth or rank[order[-1]] == n - 1:
+        step = np.zeros(n, np.int64)
+        np.cumsum(ordered[1:] != ordered[:-1], out=step[1:])
+        if length >= depth or step[-1] == n - 1:
             return order
+        rank = np.empty(n, np.int64)
+        rank[order] = step
         after = np.zeros(n, np.int64)
         after[: n - length] = rank[length:] + 1
         key = rank * (n + 1) + after
@@ -218,7 +226,7 @@ def candidates(texts: DataFrame, least: int) -> DataFrame:
                 if not len(runs.low):
                     continue
                 rid = np.array([r for _, r in some], np.int64)
-                order = np.argsort(runs.gram, kind="stable")
+                order = np.argsort(runs.gram)
                 sorted_ = runs.gram[order]
                 new = np.concatenate([[True], sorted_[1:] != sorted_[:-1]])
                 size = np.diff(np.append(np.flatnonzero(new), len(new)))
