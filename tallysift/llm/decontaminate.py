@@ -30,6 +30,8 @@ SEGMENT = 100
 BLOCK_CHARS = 4_000_000
 #: Characters of documents turned into arrays at once; a longer document is taken alone.
 BATCH_CHARS = 1 << 20
+#: Places of q-grams in segments that are counted at once.
+SLICE_PLACES = 1 << 21
 #: Bits of the table that tells most q-grams apart from those of the benchmark.
 FILTER_BITS = 23
 
@@ -138,14 +140,10 @@ class Block:
         n = self.counts[key]
         if not n.sum():
             return []
-        # one row for each place of a q-gram in a segment
-        step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        entry = self.where[np.repeat(self.first[key], n) + step]
         # texts are set apart, so that a diagonal belongs to one of them
-        apart = np.repeat(at + owner * 4 * SEGMENT, n) + 2 * SEGMENT
-        band = (apart - entry[:, 1]) // self.width
-        top = int(band.max()) + 2
-        bands, counts = np.unique(entry[:, 0] * top + band, return_counts=True)
+        apart = at + owner * 4 * SEGMENT + 2 * SEGMENT
+        top = int(apart.max()) // self.width + 2
+        bands, counts = self.counted(apart, key, n, top)
         both = counts + np.where(np.append(bands[1:], -1) == bands + 1, np.append(counts[1:], 0), 0)
         good = both >= self.least[bands // top]
         segment, low = bands[good] // top, (bands[good] % top) * self.width - 2 * SEGMENT
@@ -164,6 +162,26 @@ class Block:
                 found.append((t, int(segment[part][i]), int(places[start[i]] - self._offset(texts, t)), int(places[end[i] - 1] + 1 - self._offset(texts, t)), int(edits[i])))
         return found
 
+    def counted(self, apart: np.ndarray, key: np.ndarray, n: np.ndarray, top: int) -> tuple[np.ndarray, np.ndarray]:
+        """Bands, as segment * top + band, that hold shared q-grams, and their numbers.
+
+        A q-gram of a text meets all its places in all segments. They are taken in slices of ``SLICE_PLACES`` rows, whose
+        counts are added up, so that a q-gram that repeats in texts and items costs time but no memory.
+        """
+        ends = np.cumsum(n)
+        bands, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        for low in range(0, int(ends[-1]), SLICE_PLACES):
+            row = np.arange(low, min(low + SLICE_PLACES, int(ends[-1])))
+            of = np.searchsorted(ends, row, side="right")
+            entry = self.where[self.first[key[of]] + row - (ends[of] - n[of])]
+            band = (apart[of] - entry[:, 1]) // self.width
+            new, c = np.unique(entry[:, 0] * top + band, return_counts=True)
+            if len(bands):
+                new, at = np.unique(np.concatenate([bands, new]), return_inverse=True)
+                c = np.bincount(at, weights=np.concatenate([counts, c])).astype(np.int64)
+            bands, counts = new, c
+        return bands, counts
+
     def _offset(self, texts: list[str], t: int) -> int:
         if getattr(self, "_of", None) is not texts:
             self._of, self._offsets = texts, np.concatenate([[0], np.cumsum([len(x) for x in texts])])

@@ -170,6 +170,14 @@ def normalise(archives: DataFrame, folder: str) -> DataFrame:
     return archives.select("archive").mapInArrow(split, "archive string, index string, records long")
 
 
+def by_archive(archives: DataFrame) -> DataFrame:
+    """Rows of a list of archives (a settled table), a partition for each.
+
+    The number of partitions is given, so adaptive execution does not merge these rows of few bytes.
+    """
+    return archives.repartitionByRange(max(1, archives.count()), "archive")
+
+
 READ = "page_id long, url string, record_type string, refers_to long, stated_digest string, block_digest string, block_bytes long"
 
 
@@ -199,14 +207,13 @@ def read_members(archives: DataFrame) -> DataFrame:
 def op2_warc_members(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = scratch(spark, "warc")
     whole = settle(write_archives(typed(table(spark, sf_dir, "pages")), f"{folder}/whole"), "warc-whole")
-    # a task for each archive; the list has a row an archive
-    members = settle(normalise(whole.repartition(F.col("archive")), f"{folder}/members"), "warc-members")
-    read = settle(read_members(members.repartition(F.col("archive"))), "warc-read")
-    # a revisit's payload is that of the record it refers to
-    sources = read.filter("record_type = 'response'").groupBy(F.col("page_id").alias("to")).agg(
+    members = settle(normalise(by_archive(whole), f"{folder}/members"), "warc-members")
+    read = settle(read_members(by_archive(members)), "warc-read")
+    # a revisit's payload is that of the record it refers to; records may share a page_id, so its stated digest tells them apart
+    sources = read.filter("record_type = 'response'").groupBy(F.col("page_id").alias("to"), F.col("stated_digest").alias("as")).agg(
         F.max(F.struct("block_digest", "block_bytes")).alias("r")
     )
-    revisits = read.filter("record_type = 'revisit'").join(sources, F.col("refers_to") == F.col("to"), "left")
+    revisits = read.filter("record_type = 'revisit'").join(sources, (F.col("refers_to") == F.col("to")) & (F.col("stated_digest") == F.col("as")), "left")
     done = read.filter("record_type = 'response'").select(
         "page_id", F.col("block_bytes").alias("payload_bytes"), F.col("block_digest").alias("payload_digest"), "record_type", "refers_to"
     )

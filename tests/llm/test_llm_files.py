@@ -76,6 +76,22 @@ def test_damaged_archives_are_named(spark, tmp_path):
     assert len(list(warc.read_records(io.BufferedReader(gzip.GzipFile(fileobj=io.BytesIO(two)))))) == 2
 
 
+def test_a_task_for_each_archive(spark):
+    names = spark.createDataFrame([(f"part-{i:04d}",) for i in range(23)], "archive string").repartition(5)
+    used = warc.by_archive(names).select(F.spark_partition_id().alias("p")).distinct().count()
+    assert used >= 20
+
+
+def test_op2_with_repeated_page_ids(spark, tmp_path):
+    a, b = "<p>" + "a" * 2000, "<p>" + "b" * 2000
+    rows = [(5, "u", a), (5, "u", b), (3, "u", a), (2, "u", b), (None, "u", b), (7, "u", None), (7, "u", "x")]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    got = sorted((str(r["page_id"]), r["payload_bytes"], r["payload_digest"], r["record_type"], r["refers_to"]) for r in warc.op2_warc_members(spark, str(tmp_path)).collect())
+    sha = lambda t: hashlib.sha1((t or "").encode()).hexdigest()
+    want = [(str(i), len(t or ""), sha(t), "response" if i in (5, 7) else "revisit", None if i in (5, 7) else 5) for i, _, t in rows]
+    assert got == sorted(want)
+
+
 def test_warc_empty(spark, pages):
     folder, whole = archives(spark, pages.limit(0))
     assert whole.count() == 0
