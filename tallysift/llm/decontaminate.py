@@ -1,8 +1,8 @@
 """Benchmark decontamination: q-gram lemma filtering in diagonal bands, verified by banded alignment.
 
 Texts are compared in a normal form: lower case, every run of characters other than letters and digits
-one space. Items are cut into overlapping segments of ``SEGMENT`` characters, so that a passage of
-``1.5 * SEGMENT`` characters of an item contains a whole segment. A segment of length L that occurs
+one space. Items are cut into overlapping segments of so many characters, one every sixth of that, so that a passage of
+``segment * 7 / 6`` characters of an item contains a whole segment. The query and the pipeline use ``SHORT_SEGMENT``. A segment of length L that occurs
 with at most k edits shares at least ``L + 1 - q - k * q`` q-grams with its place, all on k + 1
 neighbouring diagonals: they lie in two adjacent bands of k + 1 diagonals. Band pairs that reach the
 bound are verified by alignment within the band.
@@ -25,7 +25,7 @@ from tallysift.session import settle, table
 Q = 10
 #: Edits allowed a character of a segment.
 RATE = 0.08
-SEGMENT = 100
+SEGMENT, SHORT_SEGMENT = 100, 72
 #: Characters of benchmark items sent to the tasks at once; a longer item is a block of its own.
 BLOCK_CHARS = 4_000_000
 #: Characters of documents turned into arrays at once; a longer document is taken alone.
@@ -91,7 +91,8 @@ def gram_hashes(codes: np.ndarray, q: int = Q) -> np.ndarray:
 class Block:
     """Index of the segments of some benchmark items."""
 
-    def __init__(self, items: list[tuple[int | None, str]]):
+    def __init__(self, items: list[tuple[int | None, str]], segment: int = SEGMENT):
+        self.segment = segment
         self.ids, self.texts, self.budget, self.least = [], [], [], []
         grams, where = [], []
         for item, text in items:
@@ -100,9 +101,9 @@ class Block:
                 codes = codes[:-1]
             if len(codes) < Q:
                 continue
-            starts = sorted({*range(0, max(1, len(codes) - SEGMENT + 1), SEGMENT // 2), max(0, len(codes) - SEGMENT)})
+            starts = sorted({*range(0, max(1, len(codes) - segment + 1), max(1, segment // 6)), max(0, len(codes) - segment)})
             for start in starts:
-                part = codes[start : start + SEGMENT]
+                part = codes[start : start + segment]
                 k = int(RATE * len(part))
                 while k and len(part) + 1 - Q - k * Q < 2:
                     k -= 1
@@ -141,18 +142,18 @@ class Block:
         if not n.sum():
             return []
         # texts are set apart, so that a diagonal belongs to one of them
-        apart = at + owner * 4 * SEGMENT + 2 * SEGMENT
+        apart = at + owner * 4 * self.segment + 2 * self.segment
         top = int(apart.max()) // self.width + 2
         bands, counts = self.counted(apart, key, n, top)
         both = counts + np.where(np.append(bands[1:], -1) == bands + 1, np.append(counts[1:], 0), 0)
         good = both >= self.least[bands // top]
-        segment, low = bands[good] // top, (bands[good] % top) * self.width - 2 * SEGMENT
+        segment, low = bands[good] // top, (bands[good] % top) * self.width - 2 * self.segment
         if not len(segment):
             return []
         # the text whose diagonals these are, and the first diagonal in its own numbering
-        base = ends[:-1] + np.arange(len(texts)) * 4 * SEGMENT
-        owner = np.clip(np.searchsorted(base, low + SEGMENT, side="right") - 1, 0, len(texts) - 1)
-        low = low - owner * 4 * SEGMENT
+        base = ends[:-1] + np.arange(len(texts)) * 4 * self.segment
+        owner = np.clip(np.searchsorted(base, low + self.segment, side="right") - 1, 0, len(texts) - 1)
+        low = low - owner * 4 * self.segment
         found = []
         for s in range(0, len(segment), 2048):
             part = slice(s, s + 2048)
@@ -253,20 +254,20 @@ def _chunks(texts: list[str | None]) -> Iterator[tuple[int, list[str]]]:
         yield start, some
 
 
-_blocks: dict[int, Block] = {}
+_blocks: dict = {}
 
 
-def _block(items) -> Block:
+def _block(items, segment: int) -> Block:
     """The index of a broadcast block, built once a worker."""
-    if items.value is not _blocks.get("items"):
-        _blocks["items"], _blocks["index"] = items.value, Block(items.value)
+    if items.value is not _blocks.get("items") or _blocks["segment"] != segment:
+        _blocks["items"], _blocks["segment"], _blocks["index"] = items.value, segment, Block(items.value, segment)
     return _blocks["index"]
 
 
 MATCH = "doc_id long, item_id long, start_char long, end_char long, edits int, segments int"
 
 
-def find(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+def find(docs: DataFrame, benchmark: DataFrame, segment: int = SEGMENT) -> DataFrame:
     """Matches of items in rows of (doc_id, text): a row for each document row and item.
 
     start_char and end_char bound the matched segments in the text; edits is the largest number of
@@ -279,15 +280,15 @@ def find(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             schema = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("start_char", pa.int64()), ("end_char", pa.int64()), ("edits", pa.int32()), ("segments", pa.int32())])
-            index = _block(sent)
+            index = _block(sent, segment)
             for batch in batches:
                 ids = batch.column(0).to_pylist()
                 for start, some in _chunks(batch.column(1).to_pylist()):
                     merged: dict = {}
-                    for t, segment, a, b, edits in index.matches(some):
-                        old = merged.setdefault((start + t, index.ids[segment]), [a, b, 0, set()])
+                    for t, place, a, b, edits in index.matches(some):
+                        old = merged.setdefault((start + t, index.ids[place]), [a, b, 0, set()])
                         old[0], old[1], old[2] = min(old[0], a), max(old[1], b), max(old[2], edits)
-                        old[3].add(segment)
+                        old[3].add(place)
                     if merged:
                         rows = [dict(zip(schema.names, (ids[t], i, a, b, e, len(s)), strict=True)) for (t, i), (a, b, e, s) in merged.items()]
                         yield pa.RecordBatch.from_pylist(rows, schema)
@@ -297,7 +298,7 @@ def find(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     return out if out is not None else spark.createDataFrame([], MATCH)
 
 
-def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+def clean(docs: DataFrame, benchmark: DataFrame, segment: int = SEGMENT) -> DataFrame:
     """The rows of docs, all columns, whose text holds no benchmark passage."""
     spark = docs.sparkSession
     at = docs.columns.index("text")
@@ -305,7 +306,7 @@ def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         sent = spark.sparkContext.broadcast(items)
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            index = _block(sent)
+            index = _block(sent, segment)
             for batch in batches:
                 keep = np.ones(batch.num_rows, bool)
                 for start, some in _chunks(batch.column(at).to_pylist()):
@@ -318,4 +319,4 @@ def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return settle(find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")), "leaks")
+    return settle(find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), SHORT_SEGMENT), "leaks")

@@ -360,6 +360,37 @@ def test_decontamination(spark):
     assert len(blocks) > 3 and sum(map(len, blocks)) == len(items)
 
 
+def test_passages_of_items_are_found():
+    """Verbatim runs of seven sixths of a segment are always found, wherever they begin, and mostly those with some edits."""
+    rng = random.Random(16)
+    items = [(i, prose(rng, 60)) for i in range(8)]
+    segment = decontaminate.SHORT_SEGMENT
+    block = decontaminate.Block(items, segment)
+    run, hits = segment * 7 // 6, []
+    for _ in range(150):
+        i, text = rng.choice(items)
+        start = rng.randrange(len(text) - run)
+        part = list(text[start : start + run])
+        for at in rng.sample(range(run), rng.choice((0, 0, 2, 4))):
+            part[at] = "z"
+        # a run may begin or end within a word, or at a blank
+        found = block.matches([prose(rng, 30) + "# " + "".join(part).strip() + " #" + prose(rng, 30)])
+        hits.append(any(block.ids[s] == i for _, s, *_ in found))
+        assert hits[-1] or "z" in part or " " in (part[0], part[-1])
+    assert sum(hits) >= 0.9 * len(hits)
+    assert not block.matches([prose(random.Random(99), 3000)])
+
+
+def test_slices_change_nothing(monkeypatch):
+    rng = random.Random(17)
+    items = [(0, "a" * 300), (1, "ab " * 100), (2, prose(rng, 60))]
+    texts = ["a" * 2000, "x " + "ab " * 200, prose(rng, 20) + " " + items[2][1], ""]
+    whole = decontaminate.Block(items).matches(texts)
+    monkeypatch.setattr(decontaminate, "SLICE_PLACES", 997)
+    assert decontaminate.Block(items).matches(texts) == whole
+    assert {t for t, *_ in whole} == {0, 1, 2}
+
+
 def test_alignment_equals_dynamic_programme():
     rng = random.Random(7)
     item = prose(rng, 12)[:100]
