@@ -1,15 +1,20 @@
 """Mixing sources to target weights by Pareto order sampling.
 
-Each source gets a target number of words; ``target / source_size`` is the expected number of
-copies of each of its documents. The whole part of it is allocated to every document with
-certainty; the rest is a fixed-size sample: documents are ranked by random odds divided by
-inclusion odds, ``(u / (1 - u)) / (p / (1 - p))``, and taken in that order until the rest of
-the target is filled. At most ``CLOSERS`` further documents, each the one whose size is nearest to
-what is still missing, close the gap.
-
-Scale: texts are reduced to their sizes in the scan. No order over a whole source is built: ranks
-fall into ``BINS`` bins, whose sizes are summed (partial sums map-side), and only the rows of the
-one bin in which a source's target falls are ordered.
+Each source gets a target number of words. Within a source, documents have unequal expected numbers of copies: they
+are proportional to ``appeal``, up to ``MOST``, and such that the expected words of the source are its target. The whole
+part of a document's expectation is allocated with certainty; its fraction p is its inclusion probability in a
+sample of fixed size: documents are ranked by random odds divided by inclusion odds,
+``(u / (1 - u)) / (p / (1 - p))``, and taken in that order until the rest of the target is filled. At most
+``CLOSERS`` further documents, each the one whose size is nearest to what is still missing, close the gap; they
+raise the inclusion of two documents of a source at most.
+
+The query and the pipeline use ``size_appeal``: of two documents, the one with 16 times the words has half the
+expected copies.
+
+Scale: texts are reduced to their sizes in the scan. Appeals are rounded to levels, whose sums are one small table. No
+order over a whole source is built: ranks fall into bins, about four times the square root of the source's rows,
+whose sizes are summed (partial sums map-side), and only the rows of the one bin in which a source's target falls
+are ordered.
 """
 
 from __future__ import annotations
@@ -17,10 +22,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tallysift.llm.bitset import OWN
 from tallysift.session import settle, table
 
-#: Rank bins of each source; only one of them is ordered row by row.
-BINS = 4096
+#: Levels of appeal: an eighth of a power of two each, and the farthest from 1 on either side.
+LEVELS, FARTHEST = 8, 128
 #: No document is taken more often than this.
 MOST = 3
 #: Documents that may be added to close what the last whole document leaves open.
@@ -70,50 +76,67 @@ def uniform(key: Column, seed: str) -> Column:
     return (F.conv(digits, 16, 10).cast("long").cast("double") + 0.5) / F.lit(float(2**52))
 
 
-def mix(items: DataFrame, seed: str = "mix-", most: int = MOST) -> DataFrame:
+def size_appeal(size: Column) -> Column:
+    """Relative expected copies by size: a fourth of a power of two less for each binary digit of the number of words."""
+    return F.pow(F.lit(2.0), -F.length(F.bin(size)) / 4)
+
+
+def expectations(levels: DataFrame, targets: DataFrame, most: int = MOST) -> DataFrame:
+    """(source, level, whole, p, need, source_size, target) for rows of (source, level, words): expected copies of a level.
+
+    Copies are ``least(most, rate * 2 ** (level / LEVELS))`` with the rate that fills the source's target: with levels in
+    falling order the capped ones come first. A source without words has no copies.
+    """
+    by_level = Window.partitionBy("source").orderBy(F.col("level").desc())
+    before, rest = by_level.rowsBetween(Window.unboundedPreceding, -1), by_level.rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    whole_source = Window.partitionBy("source")
+    appeal = F.pow(F.lit(2.0), F.col("level") / LEVELS)
+    tried = (
+        levels.join(targets.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")))
+        .drop("s")
+        .withColumn("capped", F.coalesce(F.sum(F.col("words") * most).over(before), F.lit(0)))
+        .withColumn("pull", F.sum(F.col("words") * appeal).over(rest))
+        .withColumn("rate", F.try_divide(F.col("target") - F.col("capped"), F.col("pull")))
+    )
+    fit = F.max(F.when(F.col("rate") * appeal <= most, F.struct("level", "rate"))).over(whole_source)["rate"]
+    copies = F.when(F.col("source_size") == 0, F.lit(0.0)).otherwise(F.least(F.lit(float(most)), F.coalesce(F.col("fit") * appeal, F.lit(float(most)))))
+    shared = tried.withColumn("fit", fit).withColumn("m", copies).withColumn("whole", F.floor(F.col("m") + 1e-9).cast("long"))
+    need = F.col("target") - F.sum(F.col("whole") * F.col("words")).over(whole_source)
+    return shared.withColumn("need", need).select("source", "level", "whole", F.greatest(F.col("m") - F.col("whole"), F.lit(0.0)).alias("p"), "need", "source_size", "target")
+
+
+def mix(items: DataFrame, seed: str = "mix-", most: int = MOST, closers: int = CLOSERS) -> DataFrame:
     """Copies of each item of (doc_id, size, source, appeal).
 
-    Returns doc_id, size, source, source_size, target, copies, taken. ``appeal`` is a positive
-    relative inclusion weight within the source (null: 1). Null sources are one source. Rows that
-    agree in doc_id, source and size are numbered, so that each has odds of its own; which of them
-    is which does not matter. An empty table gives an empty table, a source without words target 0.
+    Returns doc_id, size, source, source_size, target, copies, taken, twin. ``appeal`` is a positive
+    relative number of expected copies within the source (null or not positive: 1), rounded to a level. Null sources are one
+    source. Rows that agree in doc_id, source and size are numbered by ``twin``, so that each has odds of its own; which of
+    them is which does not matter. An empty table gives an empty table, a source without words target 0.
     """
-    same = Window.partitionBy("doc_id", "source", "size").orderBy("doc_id")
+    same = Window.partitionBy("doc_id", "source", "size").orderBy("level")
+    appeal = F.col("appeal").cast("double")
+    level = F.when(appeal > 0, F.greatest(F.lit(-FARTHEST), F.least(F.lit(FARTHEST), F.round(F.log2(appeal) * LEVELS)))).otherwise(0)
     rows = settle(
-        items.select(
-            "doc_id",
-            F.col("size").cast("long").alias("size"),
-            "source",
-            F.coalesce(F.col("appeal").cast("double"), F.lit(1.0)).alias("appeal"),
-        ).withColumn("twin", F.row_number().over(same)),
+        items.select("doc_id", F.col("size").cast("long").alias("size"), "source", level.cast("int").alias("level")).withColumn("twin", F.row_number().over(same)),
         "mix-sizes",
     )
-    sources = rows.groupBy("source").agg(
-        F.sum("size").alias("source_size"),
-        F.sum(F.col("size") * F.col("appeal")).alias("pull"),
-    )
-    targets = source_targets(sources.select("source", "source_size"), most)
-    plan = (
-        targets.join(sources.select(F.col("source").alias("s"), "pull"), F.col("source").eqNullSafe(F.col("s")))
-        .drop("s")
-        .withColumn("ratio", F.coalesce(F.try_divide("target", "source_size"), F.lit(0.0)))
-        .withColumn("whole", F.floor("ratio").cast("long"))
-        .withColumn("need", F.col("target") - F.col("whole") * F.col("source_size"))
-        .withColumn("rate", F.coalesce(F.try_divide("need", "pull"), F.lit(0.0)))
-    )
-    chance = F.least(F.greatest(F.col("rate") * F.col("appeal"), F.lit(1e-9)), F.lit(1 - 1e-9))
-    u = uniform(F.concat_ws("/", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.col("twin")), seed)
+    levels = rows.groupBy("source", "level").agg(F.sum("size").alias("words"), F.count("*").alias("n"))
+    sources = levels.groupBy("source").agg(F.sum("words").alias("source_size"), F.sum("n").alias("n"))
+    targets = source_targets(sources.select("source", "source_size"), most).select("source", "source_size", "target")
+    plan = expectations(levels.drop("n"), targets, most)
+    bins = sources.select(F.col("source").alias("b"), (F.ceil(F.sqrt("n")) * 4).alias("bins"))
+    plan = settle(plan.join(bins, F.col("source").eqNullSafe(F.col("b"))).drop("b"), "mix-levels")
+    p = F.least(F.greatest(F.col("p"), F.lit(1e-9)), F.lit(1 - 1e-9))
+    u = F.col("u")
     ranked = (
-        rows.join(plan.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")))
-        .drop("s")
-        .withColumn("u", u)
-        .withColumn("p", chance)
-        .withColumn("q", (F.col("u") / (1 - F.col("u"))) / (F.col("p") / (1 - F.col("p"))))
-        # a monotone map of q to bins
-        .withColumn("bin", F.floor(F.col("q") / (1 + F.col("q")) * BINS).cast("int"))
+        rows.join(plan.select(F.col("source").alias("s"), F.col("level").alias("l"), *plan.columns[2:]), F.col("source").eqNullSafe(F.col("s")) & (F.col("level") == F.col("l")))
+        .withColumn("u", uniform(F.concat_ws("/", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.col("twin")), seed))
+        .withColumn("q", F.when(F.col("whole") < most, (u / (1 - u)) / (p / (1 - p))))
+        # a monotone map of q to bins; documents that have all their copies take no part
+        .withColumn("bin", F.floor(F.col("q") / (1 + F.col("q")) * F.col("bins")))
     )
-    ranked = settle(ranked.drop("rate", "pull", "u", "p"), "mix-ranks")
-    sums = ranked.groupBy("source", "need", "bin").agg(F.sum("size").alias("bin_size"))
+    ranked = settle(ranked.drop("u", "p", "s", "l", "level", "bins"), "mix-ranks")
+    sums = ranked.filter("bin is not null").groupBy("source", "need", "bin").agg(F.sum("size").alias("bin_size"))
     upto = Window.partitionBy("source").orderBy("bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     turning = (
         sums.withColumn("end", F.sum("bin_size").over(upto))
@@ -139,19 +162,20 @@ def mix(items: DataFrame, seed: str = "mix-", most: int = MOST) -> DataFrame:
         .groupBy("source")
         .agg((F.first("need") - F.coalesce(F.max(F.expr("case when extra = 1 then end end")), F.first("base"))).alias("gap"))
     )
-    closers = None
-    for _ in range(CLOSERS):
-        spare = chosen.filter("extra = 0 and size > 0")
-        if closers is not None:
-            spare = spare.join(closers, _same(spare, closers), "left_anti")
+    added = None
+    for _ in range(closers):
+        spare = chosen.filter("extra = 0 and size > 0 and q is not null")
+        if added is not None:
+            spare = spare.join(added, _same(spare, added), "left_anti")
         closer = _closer(spare, gap)
         gap = closer.select(F.col("c_source").alias("source"), (F.col("gap") - F.col("c_size")).alias("gap"))
         closer = closer.drop("gap")
-        closers = closer if closers is None else closers.unionByName(closer)
-    return (
-        chosen.join(closers, _same(chosen, closers), "left")
-        .withColumn("copies", F.col("whole") + F.col("extra") + F.col("c_twin").isNotNull().cast("int"))
-        .select("doc_id", "size", "source", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), "twin")
+        added = closer if added is None else added.unionByName(closer)
+    copies = F.col("whole") + F.col("extra")
+    if added is not None:
+        chosen, copies = chosen.join(added, _same(chosen, added), "left"), copies + F.col("c_twin").isNotNull().cast("int")
+    return chosen.withColumn("copies", copies).select(
+        "doc_id", "size", "source", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), "twin"
     )
 
 
@@ -176,26 +200,35 @@ def _closer(spare: DataFrame, gap: DataFrame) -> DataFrame:
     )
 
 
-def copies_of(docs: DataFrame, seed: str = "mix-") -> DataFrame:
-    """docs, all columns, each row as often as ``mix`` takes it, with copy_no from 1."""
-    size = words(F.col("text"))
-    items = docs.select("doc_id", size.alias("size"), "source", F.lit(None).cast("double").alias("appeal"))
-    plan = settle(mix(items, seed).filter("copies > 0").select("doc_id", "size", "source", "twin", "copies"), "mix-plan")
-    # rows that agree in doc_id, size and source are interchangeable
+def _sized(docs: DataFrame, by_size: bool) -> DataFrame:
+    sized = docs.select("doc_id", words(F.col("text")).alias("size"), "source")
+    return sized.withColumn("appeal", size_appeal(F.col("size")) if by_size else F.lit(1.0))
+
+
+def copies_of(docs: DataFrame, seed: str = "mix-", by_size: bool = False) -> DataFrame:
+    """docs, all columns, each row as often as ``mix`` takes it, with copy_no from 1 (which replaces a column of that name).
+
+    ``by_size``: expected copies follow ``size_appeal``; else they are the same for all documents of a source.
+
+    Rows that agree in doc_id, size and source are interchangeable; only those that repeat are numbered. Documents
+    that are not taken, and those of no words, of which the number of copies does not matter, are as ``mix`` has them.
+    """
     names = [c for c in docs.columns if c != "copy_no"]
-    same = Window.partitionBy("doc_id", "source", "_size").orderBy("doc_id")
-    rows = docs.select(*names, size.alias("_size")).withColumn("_twin", F.row_number().over(same))
-    key = (
-        rows["doc_id"].eqNullSafe(plan["doc_id"])
-        & rows["source"].eqNullSafe(plan["source"])
-        & (rows["_size"] == plan["size"])
-        & (rows["_twin"] == plan["twin"])
-    )
-    taken = rows.join(plan, key).select(*[rows[c] for c in names], plan["copies"])
-    return taken.withColumn("copy_no", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).drop("copies")
+
+    def key(doc_id: Column, source: Column, size: Column) -> list[Column]:
+        parts = [doc_id, doc_id.isNull(), source, source.isNull(), size]
+        return [F.xxhash64(*parts), F.xxhash64(F.lit("second"), *parts)]
+
+    plan = mix(_sized(docs, by_size), seed).groupBy(*[c.alias(OWN + n) for c, n in zip(key(F.col("doc_id"), F.col("source"), F.col("size")), "ab", strict=True)])
+    plan = settle(plan.agg(F.array_sort(F.collect_list("copies")).alias(OWN + "copies")).filter(F.array_max(OWN + "copies") > 0), "mix-plan")
+    keyed = docs.select(*names, *[c.alias(OWN + n) for c, n in zip(key(F.col("doc_id"), F.col("source"), words(F.col("text"))), "ab", strict=True)])
+    taken = keyed.join(plan, [OWN + "a", OWN + "b"])
+    alone = taken.filter(F.size(OWN + "copies") == 1).withColumn(OWN + "n", F.lit(1))
+    twins = taken.filter(F.size(OWN + "copies") > 1).withColumn(OWN + "n", F.row_number().over(Window.partitionBy(OWN + "a", OWN + "b").orderBy(OWN + "a")))
+    times = F.element_at(F.col(OWN + "copies"), F.col(OWN + "n")).cast("int")
+    rows = alone.unionByName(twins).withColumn(OWN + "times", times).filter(F.col(OWN + "times") > 0)
+    return rows.select(*names, F.explode(F.sequence(F.lit(1), F.col(OWN + "times"))).alias("copy_no"))
 
 
 def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    items = docs.select("doc_id", words(F.col("text")).alias("size"), "source", F.lit(None).cast("double").alias("appeal"))
-    return mix(items).select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
+    return mix(_sized(table(spark, sf_dir, "documents"), by_size=True)).select("doc_id", "size", "source_size", "target", "taken", "source", "copies")

@@ -42,7 +42,7 @@ _CLOSER = """
 g{i} as (
   select c.source, c.doc_id, c.twin, c.size, g.gap, row_number() over (partition by c.source order by abs(c.size::double - g.gap), c.q, c.doc_id, c.twin, c.size) as o
   from c join gap{i} g on g.source is not distinct from c.source
-  where c.extra = 0 and c.size > 0 and abs(c.size::double - g.gap) < g.gap {skip}
+  where c.extra = 0 and c.size > 0 and c.q is not null and abs(c.size::double - g.gap) < g.gap {skip}
 ),
 x{i} as (select * from g{i} where o = 1)
 """
@@ -65,18 +65,28 @@ s as (
   select s4.source, source_size, case when f.room is null or s4.room < f.room then source_size * 3.0::double else least(f.level * weight, source_size * 3.0::double) end as target
   from s4 left join f on true
 ),
-p as (
-  select *, case when source_size = 0 then 0 else floor(target / source_size) end::bigint as whole from s
+b as (select *, -2 * length(bin(size)) as level from t),
+v0 as (select source, level, sum(size)::bigint as words from b group by source, level),
+v1 as (
+  select v0.*, s.source_size, s.target, pow(2.0::double, level / 8.0::double) as appeal,
+    coalesce(sum(words * 3) over (partition by v0.source order by level desc rows between unbounded preceding and 1 preceding), 0)::bigint as capped,
+    sum(words * pow(2.0::double, level / 8.0::double)) over (partition by v0.source order by level desc rows between current row and unbounded following) as pull
+  from v0 join s on s.source is not distinct from v0.source
 ),
+v2 as (select *, case when pull <> 0 then (target - capped) / pull end as rate from v1),
+v3 as (select *, max(case when rate * appeal <= 3 then struct_pack(l := level, r := rate) end) over (partition by source).r as fit from v2),
+v4 as (select *, case when source_size = 0 then 0 else least(3.0::double, coalesce(fit * appeal, 3.0::double)) end as m from v3),
+v5 as (select *, floor(m + 1e-9::double)::bigint as whole from v4),
+p as (select *, greatest(m - whole, 0) as part, target - sum(whole * words) over (partition by source) as need from v5),
 r as (
-  select t.doc_id, t.source, t.size, t.twin, p.source_size, p.target, p.whole, p.target - p.whole * p.source_size as need,
-    (('0x' || substr(md5('mix-' || t.doc_id || '/' || t.twin), 1, 13))::bigint::double + 0.5) / 4503599627370496::double as u
-  from t join p on p.source is not distinct from t.source
+  select b.doc_id, b.source, b.size, b.twin, p.source_size, p.target, p.whole, p.need,
+    (('0x' || substr(md5('mix-' || b.doc_id || '/' || b.twin), 1, 13))::bigint::double + 0.5) / 4503599627370496::double as u,
+    least(greatest(part, 1e-9::double), 1 - 1e-9::double) as pi
+  from b join p on p.source is not distinct from b.source and p.level = b.level
 ),
-q as (select *, least(greatest(case when source_size = 0 then 0 else need / source_size::double end, 1e-9::double), 1 - 1e-9::double) as pi from r),
-o as (select *, (u / (1 - u)) / (pi / (1 - pi)) as q from q),
-z as (select *, (sum(size) over (partition by source order by q, doc_id, twin rows between unbounded preceding and current row))::bigint as top from o),
-c as (select *, (top <= need and need > 0)::int as extra from z),
+o as (select *, case when whole < 3 then (u / (1 - u)) / (pi / (1 - pi)) end as q from r),
+z as (select *, case when q is not null then (sum(size) over (partition by source order by q nulls last, doc_id, twin rows between unbounded preceding and current row))::bigint end as top from o),
+c as (select *, coalesce(top <= need and need > 0, false)::int as extra from z),
 gap0 as (select source, need - coalesce(max(top) filter (extra = 1), 0) as gap from c group by source, need),
 {_CLOSER.format(i=0, skip="")},
 gap1 as (select source, gap - size as gap from x0),

@@ -459,6 +459,37 @@ def test_copies_of(spark):
     assert mixing.copies_of(docs).count() == plan.agg(F.sum("copies")).first()[0]
 
 
+def test_inclusion_frequencies(spark):
+    """Over 600 sources of the same documents, each with draws of its own, documents are taken as often as their probabilities say."""
+    sizes = [3, 4, 6, 7, 9, 12, 15, 18, 22, 25, 29, 35, 40, 46, 52, 60, 70, 80, 95, 110] * 3
+    rows = [(1000 * s + i, n, f"s{s:04d}", 2.0 ** (-len(f"{n:b}") / 4)) for s in range(600) for i, n in enumerate(sizes)]
+    items = spark.createDataFrame(rows, "doc_id long, size long, source string, appeal double")
+    out = mixing.mix(items, closers=0).withColumn("i", F.col("doc_id") % 1000).withColumn("w", F.col("doc_id").cast("int") / 1000)
+    out = out.withColumn("rate", F.round(F.col("target") / F.col("source_size"), 6))
+    total = sum(sizes)
+    for rate, part in out.groupBy("rate", "i").agg(F.avg("copies").alias("mean"), F.count("*").alias("n")).toPandas().groupby("rate"):
+        # the expected copies of each document by plain search for the rate
+        appeal = [2.0 ** (-len(f"{n:b}") / 4) for n in sizes]
+        low, high = 0.0, 1e6
+        for _ in range(100):
+            mid = (low + high) / 2
+            low, high = (mid, high) if sum(min(3, mid * a) * n for a, n in zip(appeal, sizes, strict=True)) < rate * total else (low, mid)
+        want = np.array([min(3, high * a) for a in appeal])
+        got = part.sort_values("i")["mean"].to_numpy()
+        n = int(part["n"].iloc[0])
+        assert n > 150 and (want.max() - want.min() > 0.3 or rate > 2.9)
+        # what the last document would have overshot is missing: less than half the largest size
+        assert abs(got - want).max() < 0.06 + 3 / n**0.5 * 0.5, (rate, abs(got - want).max())
+        assert np.corrcoef(got, want)[0, 1] > 0.95 or rate > 2.9
+
+
+def test_copies_of_with_clashing_names(spark):
+    docs = spark.createDataFrame([(1, "a b c", "s", 7, 8, 9)] * 3 + [(2, "d e", None, 7, 8, 9)], "doc_id long, text string, source string, copies int, _size int, copy_no int")
+    got = mixing.copies_of(docs, by_size=True)
+    assert got.columns == ["doc_id", "text", "source", "copies", "_size", "copy_no"] and got.count() > 0
+    assert mixing.copies_of(docs.limit(0)).count() == 0
+
+
 def test_words(spark):
     texts = ["a b", " a\tb\x0bc\x0c", "", None, " x  ", "\n\r"]
     got = [r["n"] for r in spark.createDataFrame([(t,) for t in texts], "t string").select(mixing.words(F.col("t")).alias("n")).collect()]
