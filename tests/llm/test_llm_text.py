@@ -236,6 +236,32 @@ def test_short_lines_are_exact_classes(spark, tmp_path):
     assert got == {1: rows[0][1], 2: "---\n你好世界", 3: "and ornt\n***"}
 
 
+def test_similar_equals_edit_distance(spark):
+    """The check of pairs, with its short cuts for replaced words and long lines, against the plain edit distance."""
+    rng = random.Random(21)
+    pairs = []
+    for n in (1, 3, 12, 40, 120, 900):
+        for _ in range(30):
+            a = prose(rng, n).split()
+            b = list(a)
+            for _ in range(int(len(b) * rng.choice((0, 0.02, 0.1, 0.2, 0.3, 0.5))) + rng.randrange(2)):
+                at = rng.randrange(len(b))
+                b[at : at + rng.randrange(2)] = prose(rng, rng.randrange(3)).split()
+                b = b or ["x"]
+            pairs.append((" ".join(a), " ".join(b)))
+    frame = spark.createDataFrame(pairs, "p string, q string")
+    longer = F.greatest(F.length("p"), F.length("q"))
+    rows = frame.select(line_dedup.similar(F.col("p"), F.col("q")).alias("got"), (F.levenshtein("p", "q") <= F.floor(longer * 0.2 + 1e-9)).alias("want")).collect()
+    assert [r["got"] for r in rows] == [r["want"] for r in rows] and 30 < sum(r["want"] for r in rows) < 150
+
+
+def test_line_dedup_keeps_columns_of_all_names(spark):
+    rows = [(1, "one two three four five six", 7, 8, 9), (2, "one two three four five six", 7, 8, 9)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, gone int, maybe int, key int")
+    got = line_dedup.dedup_lines(frame, short=True, bands=True).orderBy("doc_id").collect()
+    assert [(r["text"], r["gone"], r["maybe"], r["key"]) for r in got] == [(rows[0][1], 7, 8, 9), ("", 7, 8, 9)]
+
+
 def test_near_lines_are_found(spark, tmp_path):
     """Pairs of edit similarity 0.8 or more, by brute force, of lines of several lengths: nearly all lose the later line."""
 
