@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallysift.operators.metrics import ratios
+from tallysift.session import settle
 
 
 def draw(seed: str, replicate: Column, j: Column, n: Column) -> Column:
@@ -26,18 +27,22 @@ def replicates(units: DataFrame, seed: str, times: int, multiplicity: bool = Tru
     compare with results made that way.
     """
     spark = units.sparkSession
-    n = units.agg(F.count("*").alias("n"))
-    reps = spark.range(times).withColumnRenamed("id", "rep")
-    draws = reps.crossJoin(F.broadcast(n)).filter("n > 0").select("rep", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("j"))
-    counts = draws.groupBy("rep", draw(seed, F.col("rep"), F.col("j"), F.col("n")).alias("no")).agg(F.count("*").alias("k"))
+    n = units.count()
+    draws = spark.range(times * n).select(F.floor(F.col("id") / max(n, 1)).alias("rep"), F.pmod("id", F.lit(max(n, 1))).alias("j"))
+    counts = draws.groupBy("rep", draw(seed, F.col("rep"), F.col("j"), F.lit(n)).alias("no")).agg(F.count("*").alias("k"))
     if not multiplicity:
         counts = counts.withColumn("k", F.lit(1).cast("long"))
     return counts.join(units, "no").select("rep", "unit", "k")
 
 
 def numbered(rows: DataFrame, key: str) -> DataFrame:
-    """(unit, no): distinct keys numbered from 0 in their order."""
-    return rows.select(F.col(key).alias("unit")).distinct().withColumn("no", (F.row_number().over(Window.orderBy("unit")) - 1).cast("long"))
+    """(unit, no): distinct keys numbered from 0 in their order; ranges of keys are numbered apart and shifted by the ranges before."""
+    ranges = settle(rows.select(F.col(key).alias("unit")).distinct().repartitionByRange("unit").withColumn("part", F.spark_partition_id()), "units")
+    sizes = ranges.groupBy("part").agg(F.count("*").alias("n"))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.select(F.col("part").alias("p"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    place = F.row_number().over(Window.partitionBy("part").orderBy("unit"))
+    return ranges.join(F.broadcast(sizes), F.col("part") == F.col("p")).select("unit", (F.col("before") + place - 1).cast("long").alias("no"))
 
 
 def replicate_metrics(rows: DataFrame, key: str, truth: str, prediction: str, reps: DataFrame, on_undefined: str = "zero") -> DataFrame:

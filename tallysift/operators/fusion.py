@@ -94,3 +94,32 @@ def agreement(old: DataFrame, new: DataFrame, key: str, bit: str, scores: list[s
     for s in scores:
         close = close & F.coalesce(F.abs(F.col(f"o.{s}") - F.col(f"n.{s}")) <= tolerance, F.lit(True))
     return o.join(n, key, "left").select(key, F.coalesce(F.col(f"o.{bit}") == F.col(f"n.{bit}"), F.lit(False)).alias("same_bit"), close.alias("close"))
+
+
+def from_details(rows: DataFrame, rule: Rule = PRODUCTION, votes: tuple[str, ...] = ("m", "s", "sa")) -> Column:
+    """The decision of a stored details row, all columns text: '' is a branch that was off, votes are counted again."""
+    number = lambda c: F.nullif(F.col(c), F.lit("")).try_cast("double")
+    return rule.decide(vote_count(*[number(v) for v in votes]), number("score"), number("veto"), number("crop"))
+
+
+def vetoed(base: Column, veto: Column, least: float = 0.08) -> Column:
+    """A stored base decision that stands only with a veto score of at least ``least``."""
+    return ((base == 1) & F.coalesce(veto >= least, F.lit(False))).cast("int")
+
+
+def details_text(*scores: str, digits: int = 8) -> list[Column]:
+    """Scores as text with a fixed number of digits; '' where there is none."""
+    return [F.when(F.col(s).isNull(), "").otherwise(F.format_string(f"%.{digits}f", F.col(s))).alias(s) for s in scores]
+
+
+def threshold_name(value: Column, digits: int = 2) -> Column:
+    """A number as part of a file name: 0.22 becomes 0p22."""
+    return F.replace(F.format_string(f"%.{digits}f", value), F.lit("."), F.lit("p"))
+
+
+def at_parameters(rows: DataFrame, tolerance: float = 1e-6, **values: float) -> DataFrame:
+    """Rows whose text columns are numbers within ``tolerance`` of the values; what is no number does not match."""
+    hit = F.lit(True)
+    for name, value in values.items():
+        hit = hit & F.coalesce(F.abs(F.col(name).try_cast("double") - F.lit(value)) < tolerance, F.lit(False))
+    return rows.filter(hit)

@@ -100,6 +100,40 @@ def histogram(rows: DataFrame, value: str, edges: list[tuple[str, int, int]]) ->
 
 
 def upper_median(value: str) -> Column:
-    """The middle value, or the upper of the two."""
-    v = F.array_sort(F.collect_list(value))
-    return F.try_element_at(v, (F.floor(F.size(v) / 2) + 1).cast("int"))
+    """The middle value, or the upper of the two: the lower of the two in falling order. Partial sums hold distinct values only."""
+    return F.expr(f"percentile_disc(0.5) within group (order by {value} desc)")
+
+
+def both_policies(rows: DataFrame, truth: str, prediction: str, digits: int = 6) -> DataFrame:
+    """(policy, confusion columns): missing predictions as errors (strict), and left out (intersection)."""
+    out = None
+    for policy, missing in (("strict", "strict"), ("intersection", "drop")):
+        part = confusion(rows, truth, prediction, missing=missing, digits=digits).withColumn("policy", F.lit(policy))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def without_rows(rows: DataFrame, key: str, prediction: str, k: int, seed: str = "drop") -> DataFrame:
+    """rows in which the predictions of k keys, those with the least hashes, are taken away."""
+    h = F.md5(F.concat_ws("-", F.lit(seed), F.col(key).cast("string")).cast("binary"))
+    gone = rows.select(F.col(key).alias("gone")).orderBy(h, key).limit(k)
+    marked = rows.join(F.broadcast(gone), F.col(key) == F.col("gone"), "left")
+    return marked.withColumn(prediction, F.when(F.col("gone").isNull(), F.col(prediction))).drop("gone")
+
+
+def counts_by(rows: DataFrame, *keys: str) -> DataFrame:
+    """(keys, n): how often each combination occurs."""
+    return rows.groupBy(*keys).agg(F.count("*").alias("n"))
+
+
+def detection_totals(images: DataFrame, boxes: DataFrame, key: str, cls: str) -> DataFrame:
+    """(cls, boxes, images): boxes of each class and images with one; the row of null class holds the totals, images without boxes included."""
+    per = boxes.groupBy(F.col(cls).cast("string").alias("cls")).agg(F.count("*").alias("boxes"), F.count_distinct(key).alias("images"))
+    total = boxes.agg(F.lit(None).cast("string").alias("cls"), F.count("*").alias("boxes"), F.count_distinct(key).alias("with_box"))
+    every = images.agg(F.count_distinct(key).alias("images"))
+    return per.withColumn("with_box", F.col("images")).unionByName(total.crossJoin(F.broadcast(every)))
+
+
+def families(rows: DataFrame, name: str) -> DataFrame:
+    """(family): the distinct first two tokens of names between underscores."""
+    return rows.select(F.substring_index(name, "_", 2).alias("family")).distinct()

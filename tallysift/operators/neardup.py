@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from itertools import combinations
+from math import comb
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,43 +16,94 @@ from tallysift.session import settle
 SMALL = 50_000
 
 
-def bands(h: Column, count: int) -> Column:
-    """The hash cut into ``count`` bands, each with its number; of two hashes within count - 1 bits one band is equal."""
+#: Keys of a hash at most, when several bands must agree.
+MOST_KEYS = 400
+
+
+def bands(h: Column, count: int) -> list[Column]:
+    """The hash cut into ``count`` bands of nearly the same width."""
     out, at = [], 0
     for i in range(count):
         width = 64 // count + (1 if i < 64 % count else 0)
-        part = F.shiftrightunsigned(h, at).bitwiseAND(F.lit((1 << width) - 1 if width < 64 else -1))
-        out.append(F.struct(F.lit(i).alias("band"), part.alias("value")))
+        out.append(F.shiftrightunsigned(h, at).bitwiseAND(F.lit((1 << width) - 1 if width < 64 else -1)))
         at += width
-    return F.array(*out)
+    return out
+
+
+def equal_bands(distance: int, rows: int) -> int:
+    """How many of ``distance`` + that many bands are to be equal, so that the fewest pairs of ``rows`` random hashes meet."""
+    met = lambda g: comb(distance + g, g) * (1 + rows / 2 ** (64 * g / (distance + g)))
+    return min((g for g in range(1, 5) if g == 1 or comb(distance + g, g) <= MOST_KEYS), key=met)
+
+
+def band_keys(h: Column, distance: int, equal: int) -> Column:
+    """Keys of all choices of ``equal`` bands of ``distance + equal``: of two hashes within the distance one key at least is the same."""
+    parts = bands(h, distance + equal)
+    return F.array(*[F.struct(F.lit(i).alias("choice"), F.xxhash64(*[parts[k] for k in some]).alias("value")) for i, some in enumerate(combinations(range(distance + equal), equal))])
 
 
 def hamming_pairs(left: DataFrame, right: DataFrame, distance: int, banded: bool | None = None) -> DataFrame:
     """(a, b, d) of rows (id, h) of left and right within ``distance`` bits, a < b if both are the same table.
 
-    Small tables meet in a nested loop; larger ones only where one of distance + 1 bands is equal. The
-    result is the same. ``banded=None`` decides by a count of both.
+    Small tables meet in a nested loop; larger ones only where a choice of bands is equal (``equal_bands``). The
+    result is the same. ``banded=None`` decides by a count of both. Distances of a third of the bits and more are
+    met by chance, so that no exact way spares much.
     """
     same = left is right
     a = left.select(F.col("id").alias("a"), F.col("h").alias("ha"))
     b = right.select(F.col("id").alias("b"), F.col("h").alias("hb"))
     near = hamming(F.col("ha"), F.col("hb")) <= distance
     order = F.col("a") < F.col("b") if same else F.lit(True)
+    rows = SMALL + 1
     if banded is None:
-        banded = left.count() > SMALL or right.count() > SMALL
+        rows = max(left.count(), right.count())
+        banded = rows > SMALL
     if not banded:
         pairs = a.join(b, near & order)
     else:
-        x = a.withColumn("at", F.explode(bands(F.col("ha"), distance + 1)))
-        y = b.withColumn("at", F.explode(bands(F.col("hb"), distance + 1)))
+        equal = equal_bands(distance, rows)
+        x = a.withColumn("at", F.explode(band_keys(F.col("ha"), distance, equal)))
+        y = b.withColumn("at", F.explode(band_keys(F.col("hb"), distance, equal)))
         pairs = x.join(y, (x["at"] == y["at"]) & near & order).drop("at").dropDuplicates(["a", "b"])
     return pairs.select("a", "b", hamming(F.col("ha"), F.col("hb")).alias("d"))
 
 
+#: Distances that a search for the nearest tries before it compares what is left with all rows.
+RADII = (4, 8, 12)
+
+
 def nearest(left: DataFrame, right: DataFrame, distance: int = 64, banded: bool | None = None) -> DataFrame:
-    """(id, nearest, d): for each row of left the nearest of right within ``distance``, of equals the least id."""
-    pairs = hamming_pairs(left, right, distance, False if distance >= 63 else banded)
-    return pairs.groupBy(F.col("a").alias("id")).agg(F.min(F.struct("d", "b")).alias("m")).select("id", F.col("m.b").alias("nearest"), F.col("m.d").alias("d"))
+    """(id, nearest, d): for each row of left the nearest of right within ``distance``, of equals the least id.
+
+    Beyond ``SMALL`` rows the distance grows: rows whose nearest is found within a radius are done.
+    """
+    if banded is None:
+        banded = left.count() > SMALL or right.count() > SMALL
+    out, rest = None, left
+
+    def least(pairs: DataFrame) -> DataFrame:
+        found = pairs.groupBy(F.col("a").alias("id")).agg(F.min(F.struct("d", "b")).alias("m"))
+        return found.select("id", F.col("m.b").alias("nearest"), F.col("m.d").alias("d"))
+
+    for radius in [r for r in RADII if r < distance] if banded else []:
+        found = settle(least(hamming_pairs(rest, right, radius, True)), "nearest")
+        out = found if out is None else out.unionByName(found)
+        rest = settle(rest.join(found, "id", "left_anti"), "nearest-rest")
+    last = least(hamming_pairs(rest, right, distance, banded and distance <= max(RADII)))
+    return last if out is None else out.unionByName(last)
+
+
+def within(left: DataFrame, right: DataFrame, distance: int) -> DataFrame:
+    """The rows of left (id, h) that have any of right within ``distance``."""
+    return left.join(hamming_pairs(left, right, distance).select(F.col("a").alias("id")).distinct(), "id", "left_semi")
+
+
+def closest_groups(members: DataFrame, pairs: DataFrame, most: int = 8) -> DataFrame:
+    """(x, y, d): the groups of (id, root) that are nearest to each other by pairs (a, b, d); a report of ``most`` rows."""
+    of = lambda side, name: members.select(F.col("id").alias(side), F.col("root").alias(name))
+    linked = pairs.join(of("a", "ra"), "a").join(of("b", "rb"), "b").filter("ra <> rb")
+    best = linked.groupBy(F.least("ra", "rb").alias("x"), F.greatest("ra", "rb").alias("y")).agg(F.min("d").alias("d"))
+    return best.orderBy("d", "x", "y").limit(most)
 
 
 def groups(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -91,3 +145,44 @@ def greedy_until(clusters: DataFrame, floors: dict[str, int]) -> DataFrame:
     for c, floor in floors.items():
         met = met & (F.col(f"h_{c}") >= floor)
     return held.filter(~met).select(*clusters.columns)
+
+
+def three_way(rows: DataFrame, distance: int, floors: dict[str, int]) -> DataFrame:
+    """(id, root, part) of rows (id, h, root, side, label): holdout, calibration, train or quarantine.
+
+    Val rows are the holdout, but for those within ``distance`` of a train row, which are in quarantine with it. Groups all
+    in train and without a row in quarantine are taken whole, largest first, until the floors n, pos and neg are met: the
+    calibration part. The rest is train.
+    """
+    held = quarantine(rows.select("id", "h", "side"), distance).withColumn("held", F.lit(True))
+    marked = settle(rows.join(held, "id", "left").select("id", "root", "side", "label", F.coalesce("held", F.lit(False)).alias("held")), "three-way")
+    clusters = marked.groupBy("root").agg(
+        F.count("*").alias("n"), F.count_if(F.col("label") == 1).alias("pos"), F.count_if(F.col("label") == 0).alias("neg"), F.bool_and((F.col("side") == "train") & ~F.col("held")).alias("free")
+    )
+    taken = greedy_until(clusters.filter("free").drop("free"), floors).select("root", F.lit(True).alias("taken"))
+    part = F.when(F.col("held"), "quarantine").when(F.col("side") == "val", "holdout").when(F.col("taken"), "calibration").otherwise("train")
+    return marked.join(taken, "root", "left").select("id", "root", part.alias("part"))
+
+
+def gates(parts: DataFrame, pairs: DataFrame, floors: dict[str, dict[str, int]]) -> DataFrame:
+    """(gate, value, floor, ok) of rows (id, part, label) and pairs (a, b): rows, positives and negatives of a part reach
+    their floors, and no pair links the holdout with train or calibration."""
+    counts = parts.groupBy("part").agg(F.count("*").alias("n"), F.count_if(F.col("label") == 1).alias("pos"), F.count_if(F.col("label") == 0).alias("neg"))
+    wanted = counts.sparkSession.createDataFrame([(p, c, v) for p, f in floors.items() for c, v in f.items()], "part string, what string, floor long")
+    long_ = counts.select("part", F.explode(F.create_map(*[x for c in ("n", "pos", "neg") for x in (F.lit(c), F.col(c))])).alias("what", "value"))
+    reached = wanted.join(long_, ["part", "what"], "left").select(
+        F.concat_ws("_", "part", "what").alias("gate"), F.coalesce("value", F.lit(0)).cast("long").alias("value"), "floor", (F.coalesce("value", F.lit(0)) >= F.col("floor")).alias("ok")
+    )
+    of = lambda side, name: parts.select(F.col("id").alias(side), F.col("part").alias(name))
+    both = pairs.join(of("a", "pa"), "a").join(of("b", "pb"), "b")
+    hold, rest = F.lit("holdout"), ("train", "calibration")
+    crossing = ((F.col("pa") == hold) & F.col("pb").isin(*rest)) | ((F.col("pb") == hold) & F.col("pa").isin(*rest))
+    cross = both.agg(F.count_if(crossing).alias("value")).select(F.lit("cross_links").alias("gate"), "value", F.lit(0).cast("long").alias("floor"), (F.col("value") == 0).alias("ok"))
+    return reached.unionByName(cross)
+
+
+def require_gates(found: DataFrame) -> None:
+    """Fails with the gates that do not hold."""
+    wrong = found.filter("not ok").orderBy("gate").collect()
+    if wrong:
+        raise ValueError("; ".join(f"{r['gate']}: {r['value']}, floor {r['floor']}" for r in wrong))

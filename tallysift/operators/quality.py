@@ -80,6 +80,44 @@ def sample_manifest(rows: DataFrame, key: str, n_fp: int = 4, n_edge: int = 5) -
     return picked.unionByName(edge.select(key, F.lit("boundary").alias("bucket")))
 
 
+def require_distinct(rows: DataFrame, key: str, n: int) -> DataFrame:
+    """rows, if they hold exactly n distinct keys; else an error with the number."""
+    found = rows.select(key).distinct().count()
+    if found != n:
+        raise ValueError(f"{found} distinct names instead of {n}")
+    return rows
+
+
+def newest(files: DataFrame, path: str = "path", modified: str = "modified") -> DataFrame:
+    """One row: the path that was changed last, of equals the greatest, and when."""
+    return files.agg(F.max(F.struct(F.col(modified).alias("m"), F.col(path).alias("p"))).alias("x")).select(F.col("x.p").alias("path"), F.col("x.m").alias("modified"))
+
+
+def split_summary(rows: DataFrame, before: str, after: str, label: str) -> DataFrame:
+    """(state, split, n, pos, pos_rate) of an old and a new split of the same rows."""
+    states = F.explode(F.array(F.struct(F.lit("before").alias("state"), F.col(before).alias("split")), F.struct(F.lit("after").alias("state"), F.col(after).alias("split")))).alias("x")
+    flat = rows.select(F.col(label).alias("y"), states).select("y", "x.*")
+    per = flat.groupBy("state", "split").agg(F.count("*").alias("n"), F.count_if(F.col("y") == 1).alias("pos"))
+    return per.withColumn("pos_rate", F.bround(F.try_divide("pos", "n"), 4))
+
+
+def boxes_per_image(images: DataFrame, boxes: DataFrame, key: str) -> DataFrame:
+    """(n_boxes, images): how many images have so many boxes, none included."""
+    counts = boxes.groupBy(key).agg(F.count("*").alias("n"))
+    per = images.select(key).join(counts, key, "left").select(F.coalesce("n", F.lit(0)).alias("n_boxes"))
+    return per.groupBy("n_boxes").agg(F.count("*").alias("images"))
+
+
+def median_area(boxes: DataFrame, category: str, area: Column) -> DataFrame:
+    """(category, n, median_area)."""
+    return boxes.groupBy(category).agg(F.count("*").alias("n"), F.percentile(area, F.lit(0.5)).alias("median_area"))
+
+
+def stage_latency(rows: DataFrame, stage: str, seconds: str, memory: str) -> DataFrame:
+    """(stage, n, median, peak): the median time and the highest memory of each stage."""
+    return rows.groupBy(stage).agg(F.count(seconds).alias("n"), F.percentile(seconds, F.lit(0.5)).alias("median"), F.max(memory).alias("peak"))
+
+
 def best_epoch(history: DataFrame, run: str, epoch: str, score: str, seconds: str) -> DataFrame:
     """(run, best_epoch, best, hours): the first epoch with the highest score; hours from the last epoch's clock."""
     return history.groupBy(run).agg(

@@ -87,3 +87,44 @@ def grid(spark, **values: list) -> DataFrame:
         column = spark.createDataFrame([(v,) for v in some], [name])
         out = column if out is None else out.crossJoin(F.broadcast(column))
     return out
+
+
+def linspace(spark, low: float, high: float, steps: int) -> DataFrame:
+    """(step, value): ``steps`` numbers from low to high, both included."""
+    share = F.col("id") / F.lit(float(steps - 1))
+    return spark.range(steps).select(F.col("id").cast("int").alias("step"), (F.lit(low) + share * (high - low)).alias("value"))
+
+
+def grid_sweep(rows: DataFrame, truth: str, score: str, steps: int = 1001) -> DataFrame:
+    """(step, threshold, tp, fp, fn, tn) of ``score >= threshold`` for thresholds i / (steps - 1).
+
+    Rows are counted once, by the last threshold that they reach; the counts of a threshold are running sums over the steps.
+    """
+    n = steps - 1
+    near = F.floor(F.col(score) * n)
+    # the product may round over a threshold, either way
+    cell = F.when((near + 1) / n <= F.col(score), near + 1).when(near / n > F.col(score), near - 1).otherwise(near)
+    held = rows.filter(F.col(truth).isNotNull() & F.col(score).isNotNull())
+    counts = held.groupBy(F.least(F.greatest(cell, F.lit(-1)), F.lit(n)).cast("int").alias("cell")).agg(
+        F.count_if(F.col(truth) == 1).alias("pos"), F.count_if(F.col(truth) == 0).alias("neg")
+    )
+    grid_ = rows.sparkSession.range(-1, steps).select(F.col("id").cast("int").alias("step"))
+    dense = grid_.join(counts, F.col("step") == F.col("cell"), "left").select("step", F.coalesce("pos", F.lit(0)).alias("pos"), F.coalesce("neg", F.lit(0)).alias("neg"))
+    above, whole = Window.orderBy(F.col("step").desc()), Window.partitionBy()
+    run = above.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return (
+        dense.withColumn("tp", F.sum("pos").over(run))
+        .withColumn("fp", F.sum("neg").over(run))
+        .withColumn("fn", F.sum("pos").over(whole) - F.col("tp"))
+        .withColumn("tn", F.sum("neg").over(whole) - F.col("fp"))
+        .filter("step >= 0")
+        .select("step", (F.col("step") / F.lit(float(n))).alias("threshold"), "tp", "fp", "fn", "tn")
+    )
+
+
+def rule_sweep(rows: DataFrame, truth: str, values: list[float], decide) -> DataFrame:
+    """(value, tp, fp, fn, tn): counts of ``decide(value)``, a column of 0 and 1, for every value of a small grid; one pass over rows."""
+    cases = F.explode(F.array(*[F.struct(F.lit(float(v)).alias("value"), decide(v).alias("p")) for v in values])).alias("x")
+    flat = rows.filter(F.col(truth).isNotNull()).select(F.col(truth).alias("y"), cases).select("y", "x.*")
+    hit = lambda y, p: F.count_if((F.col("y") == y) & (F.col("p") == p))
+    return flat.groupBy("value").agg(hit(1, 1).alias("tp"), hit(0, 1).alias("fp"), hit(1, 0).alias("fn"), hit(0, 0).alias("tn"))

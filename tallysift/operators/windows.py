@@ -23,11 +23,25 @@ def moving_rate(rows: DataFrame, key: str, ts: str, order: list[str], size: int
 
 
 def sequence_gaps(rows: DataFrame, base: str, number: str, side: str) -> DataFrame:
-    """(base, min_gap, below_10, below_50) over all val - train number differences of a base; differences are signed."""
-    train = rows.filter(F.col(side) == "train").select(base, F.col(number).alias("a"))
-    val = rows.filter(F.col(side) == "val").select(base, F.col(number).alias("b"))
-    gap = F.col("b") - F.col("a")
-    return train.join(val, base).groupBy(base).agg(F.min(gap).alias("min_gap"), F.count_if(gap < 10).alias("below_10"), F.count_if(gap < 50).alias("below_50"))
+    """(base, min_gap, below_10, below_50) over all val - train number differences of a base; differences are signed.
+
+    Pairs are counted, not made: a val number b has a train number a with b - a < w for each a + w that comes after b.
+    """
+    per = rows.groupBy(base).agg(
+        F.min(F.when(F.col(side) == "val", F.col(number))).alias("low"), F.max(F.when(F.col(side) == "train", F.col(number))).alias("high")
+    )
+    out = per.filter("low is not null and high is not null").select(base, (F.col("low") - F.col("high")).alias("min_gap"))
+    for width in (10, 50):
+        train = F.col(side) == "train"
+        marks = rows.filter(F.col(side).isin("train", "val") & F.col(number).isNotNull()).select(
+            base, train.alias("train"), F.when(train, F.col(number) + width).otherwise(F.col(number)).alias("at")
+        )
+        # a train number a with a + width = b is no pair: it comes before b
+        later = Window.partitionBy(base).orderBy(F.col("at"), F.col("train").desc()).rowsBetween(1, Window.unboundedFollowing)
+        seen = marks.withColumn("n", F.count_if("train").over(later))
+        found = seen.groupBy(base).agg(F.sum(F.when(~F.col("train"), F.col("n")).otherwise(F.lit(0))).alias(f"below_{width}"))
+        out = out.join(found, base)
+    return out
 
 
 def early_stop(rows: DataFrame, key: str, epoch: str, loss: str, patience: int, tolerance: float = 1e-6) -> DataFrame:

@@ -1 +1,2 @@
 
+from tallysift.plans import catalogue, datasets  # noqa: F401

@@ -254,7 +254,7 @@ def threshold_choices(spark, sf):
 GRID = {"m": [300, 400], "s": [800, 900, 1000], "sa": [1500, 2000, 2500], "vote_k": [1, 2, 3]}
 
 
-@query(f"""
+_SEARCH = f"""
 with {DOCS_SQL}, g as (select m.m as gm, s.s as gs, sa.sa as gsa, k.k as vote_k from (values (300), (400)) m(m), (values (800), (900), (1000)) s(s), (values (1500), (2000), (2500)) sa(sa), (values (1), (2), (3)) k(k)),
 t as (select i / 20::double as threshold from range(0, 21) r(i)),
 x as (select g.gm, g.gs, g.gsa, g.vote_k, d.truth, d.score, ((n.n_chars > gm)::int + (n.n_chars > gs)::int + (n.n_chars > gsa)::int >= vote_k) as yolo from g, d join documents n using (doc_id) where truth is not null),
@@ -266,9 +266,12 @@ r as (
 f as (select *, {ratios_sql('(tp + fn)', zero=True)} from r),
 b as (select *, row_number() over (partition by rule, gm, gs, gsa, vote_k order by f1 desc, recall desc, precision desc, threshold) as n from f)
 select rule, gm, gs, gsa, vote_k, threshold, tp, fp, fn, tn, precision, recall, f1 from b where n = 1
-order by f1 desc, recall desc, precision desc, gm, gs, gsa, vote_k, rule limit 20
-""")
-def grid_search_top20(spark, sf):
+"""
+
+
+@query(_SEARCH)
+def fusion_search(spark, sf):
+    """All rows of the search: the best threshold of each combination of cuts, votes and rule."""
     rows = docs(spark, sf).filter("truth is not null").join(table(spark, sf, "documents").select("doc_id", "n_chars"), "doc_id")
     # distinct scores are not needed: thresholds are a small grid, and each document is counted once for all of them
     grid = sweep.grid(spark, gm=GRID["m"], gs=GRID["s"], gsa=GRID["sa"], vote_k=GRID["vote_k"])
@@ -290,8 +293,13 @@ def grid_search_top20(spark, sf):
     swept = swept.withColumn("threshold", F.col("step") / F.lit(20.0)).drop("step")
     best = sweep.best_threshold(sweep.scored(swept), by=["rule", *keys])
     out = best.unionByName(sweep.scored(alone).select(best.columns))
-    order = [F.col("f1").desc(), F.col("recall").desc(), F.col("precision").desc(), *keys, "rule"]
-    return out.orderBy(*order).limit(20).select("rule", *keys, "threshold", "tp", "fp", "fn", "tn", "precision", "recall", "f1")
+    return out.select("rule", *keys, "threshold", "tp", "fp", "fn", "tn", "precision", "recall", "f1")
+
+
+@query(_SEARCH + "order by f1 desc, recall desc, precision desc, gm, gs, gsa, vote_k, rule limit 20")
+def grid_search_top20(spark, sf):
+    order = [F.col("f1").desc(), F.col("recall").desc(), F.col("precision").desc(), "gm", "gs", "gsa", "vote_k", "rule"]
+    return fusion_search(spark, sf).orderBy(*order).limit(20)
 
 
 @query("""
@@ -566,7 +574,7 @@ def class_weights(spark, sf):
 @query("select lang, median(n_chars) as median, list_sort(list(n_chars))[count(*) // 2 + 1] as upper, avg(n_chars) as mean, min(n_chars) as least, max(n_chars) as most from documents group by lang")
 def size_stats(spark, sf):
     return table(spark, sf, "documents").groupBy("lang").agg(
-        F.median("n_chars").alias("median"), metrics.upper_median("n_chars").alias("upper"), F.avg("n_chars").alias("mean"), F.min("n_chars").alias("least"), F.max("n_chars").alias("most")
+        F.median("n_chars").alias("median"), metrics.upper_median("n_chars").cast("long").alias("upper"), F.avg("n_chars").alias("mean"), F.min("n_chars").alias("least"), F.max("n_chars").alias("most")
     )
 
 

@@ -87,6 +87,27 @@ def csv_table(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.csv(path, header=True, schema=schema, nullValue="")
 
 
+def require_rows(rows: DataFrame, name: str) -> DataFrame:
+    """rows, or an error if there are none."""
+    if rows.isEmpty():
+        raise ValueError(f"{name} is empty")
+    return rows
+
+
+def directory_stats(spark: SparkSession, path: str) -> DataFrame:
+    """One row: images that are read, files that are not, least, greatest and mean width and height. Empty files are not read."""
+    sizes = image_sizes(spark, path)
+    w, h = (F.when(F.col("decoded"), F.col(c)) for c in ("width", "height"))
+    stats = sizes.agg(F.count_if("decoded").alias("images"), F.count_if(~F.col("decoded")).alias("undecoded"), *[f(c).alias(f"{n}_{k}") for k, c in (("width", w), ("height", h)) for n, f in (("min", F.min), ("max", F.max), ("mean", F.avg))])
+    empty = empty_files(spark, path).agg(F.count("*").alias("empty"))
+    return stats.crossJoin(F.broadcast(empty)).withColumn("unread", F.col("undecoded") + F.col("empty")).drop("undecoded", "empty")
+
+
+def progress_stream(spark: SparkSession, path: str, schema: str = HISTORY) -> DataFrame:
+    """Rows of training histories as files of them arrive below a folder."""
+    return spark.readStream.option("header", "true").schema(schema).csv(path)
+
+
 def json_files(spark: SparkSession, path: str) -> DataFrame:
     """(file, content) of whole files, for ``validate.strict_labels``."""
     return spark.read.format("binaryFile").load(path).select(F.col("path").alias("file"), "content")

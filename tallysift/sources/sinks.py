@@ -8,6 +8,7 @@ import json
 import os
 import tempfile
 
+from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -57,12 +58,12 @@ def write_csv(rows: DataFrame, path: str) -> None:
     whole_file(path, out.getvalue(), bom=True)
 
 
-def union_columns(*tables: DataFrame) -> DataFrame:
-    """All rows with the columns of all tables, in order of name; what a table lacks is null."""
+def union_columns(*tables: DataFrame, first_seen: bool = False) -> DataFrame:
+    """All rows with the columns of all tables, in order of name or of first occurrence; what a table lacks is null."""
     out = tables[0]
     for t in tables[1:]:
         out = out.unionByName(t, allowMissingColumns=True)
-    return out.select(*sorted(out.columns))
+    return out if first_seen else out.select(*sorted(out.columns))
 
 
 def failure(file: str, stage: str, error: BaseException, index: int | None = None) -> dict:
@@ -96,6 +97,44 @@ def detections_json(rows: DataFrame) -> DataFrame:
     return rows.select("image_name", F.to_json(parts).alias("json"))
 
 
+def detections_flat(rows: DataFrame) -> DataFrame:
+    """(image_name, ordinal, class, score, x1, y1, x2, y2): a row a detection of (image_name, detections), scores rounded to 4 places, corners cut to whole pixels."""
+    flat = rows.select("image_name", F.posexplode("detections").alias("ordinal", "d"))
+    corners = [F.get("d.bbox", i).cast("int").alias(c) for i, c in enumerate(("x1", "y1", "x2", "y2"))]
+    return flat.select("image_name", "ordinal", F.col("d.class_id").alias("class"), F.bround("d.score", 4).alias("score"), *corners)
+
+
+def write_label_folders(images: DataFrame, labels: DataFrame, folder: str, names: list[str]) -> dict[str, int]:
+    """Label files ``split/labels/stem.txt`` below a folder URI, one an image of (stem, split), empty without a row in labels
+    (stem, content), and data.yaml; returns the number of files by split. Tasks write their files themselves; a task that runs again
+    writes the same files again."""
+    rows = images.select("stem", "split").join(labels.select("stem", "content"), "stem", "left")
+
+    def write(batches):
+        for batch in batches:
+            for stem, split, content in batch.itertuples(index=False):
+                _put(f"{folder}/{split}/labels/{stem}.txt", content or "")
+            yield batch[["split"]]
+
+    done = rows.mapInPandas(write, "split string").groupBy("split").count().collect()
+    found = {r["split"]: r["count"] for r in done}
+    lines = [f"path: {folder}", *[f"{split}: {split}/images" for split in sorted(found)], f"nc: {len(names)}", f"names: {json.dumps(names)}"]
+    _put(f"{folder}/data.yaml", "\n".join(lines) + "\n")
+    return found
+
+
+def _put(uri: str, text: str) -> None:
+    store, path = fs.FileSystem.from_uri(uri)
+    store.create_dir(path.rpartition("/")[0], recursive=True)
+    with store.open_output_stream(path) as out:
+        out.write(text.encode())
+
+
+def write_once(rows: DataFrame, path: str) -> None:
+    """Writes a table that must not be there yet: the second of two runs fails, whatever it found."""
+    rows.write.mode("errorifexists").parquet(path)
+
+
 def write_embeddings(rows: DataFrame, path: str, model: str, split: str, dimension: int, normalized: bool) -> None:
     """Features and, when they are there, a row of metadata that makes them valid."""
     rows.write.mode("overwrite").parquet(f"{path}/features")
