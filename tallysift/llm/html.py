@@ -7,7 +7,9 @@ ratio of text to tags is smoothed over neighbouring lines with a Gaussian and li
 content and rest by a threshold; clusters of content lines choose the region. A region is an
 ``article`` or ``main`` element that holds such a cluster, or, on pages without one, the stretch
 from the first to the last content line with a heading just before it. All lines of a region are kept,
-the short ones too.
+the short ones too, but for rows of links outside its clusters. Elements whose end tag may be left out end where HTML says
+so, skipped ones too; ``<![`` begins a comment. Where an element that is no such one is never closed, what follows is read again
+with articles ending what is skipped, if the page has no other.
 
 A page is a row of its own: no shuffle, no state between rows, a batch of bounded rows in memory.
 """
@@ -40,16 +42,33 @@ MARKS = re.compile(
     r"|navigation|pagination|pager|promo\w*|sponsor\w*|related|recommend\w*|share|sharing|social|sidebar|widget|popup|modal|overlay|skip-link)(?:$|[\s_-])",
     re.I,
 )
+#: The same words without those that inside an article mark its own head.
+MARKS_INSIDE = re.compile(MARKS.pattern.replace("|footer|foot|header|masthead|", "|footer|foot|"), re.I)
+#: Elements whose end tag may be left out: the start tags that end them, and the elements inside which those do not.
+BLOCKS = frozenset("address article aside blockquote details dialog div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
+LISTS, TABLES = frozenset("ul ol menu".split()), frozenset(("table",))
+IMPLIED = {
+    "p": (BLOCKS, frozenset(("button", "table", "object"))),
+    "li": (frozenset(("li",)), LISTS),
+    "dt": (frozenset(("dt", "dd")), frozenset(("dl",))),
+    "dd": (frozenset(("dt", "dd")), frozenset(("dl",))),
+    "tr": (frozenset(("tr", "tbody", "thead", "tfoot")), TABLES),
+    "td": (frozenset(("td", "th", "tr", "tbody", "thead", "tfoot")), TABLES),
+    "th": (frozenset(("td", "th", "tr", "tbody", "thead", "tfoot")), TABLES),
+    "option": (frozenset(("option", "optgroup")), frozenset(("select",))),
+}
+#: A line is a row of links if it has so many, and so much of its text is in them.
+LINKS, LINKED = 2, 0.8
 #: Standard deviation, in lines, and reach of the smoothing.
 SIGMA, REACH = 1.0, 3
 KERNEL = [math.exp(-(d * d) / (2 * SIGMA * SIGMA)) for d in range(-REACH, REACH + 1)]
 
 
 class Line:
-    __slots__ = ("text", "tags", "region", "heading")
+    __slots__ = ("text", "tags", "region", "heading", "links")
 
-    def __init__(self, text: str, tags: int, region: int, heading: bool):
-        self.text, self.tags, self.region, self.heading = text, tags, region, heading
+    def __init__(self, text: str, tags: int, region: int, heading: bool, links: bool = False):
+        self.text, self.tags, self.region, self.heading, self.links = text, tags, region, heading, links
 
 
 class Lines(HTMLParser):
@@ -62,7 +81,9 @@ class Lines(HTMLParser):
         self.parts: list[str] = []
         self.tags = 0
         self.skipped = ""  # the element whose end ends what is skipped
-        self.nested = 0
+        self.inner: list[str] = []  # elements open inside it
+        self.outer: list[str] = []  # elements open around it
+        self.link, self.links, self.linked = 0, 0, 0
         self.regions: list[tuple[str, int]] = []
         self.count = 0
         self.heading = False
@@ -72,8 +93,10 @@ class Lines(HTMLParser):
             text = " ".join("".join(self.parts).split())
             self.parts.clear()
             if text:
-                self.lines.append(Line(text, self.tags, self.regions[0][1] if self.regions else 0, self.heading))
+                links = self.links >= LINKS and self.linked >= LINKED * len(text.replace(" ", ""))
+                self.lines.append(Line(text, self.tags, self.regions[0][1] if self.regions else 0, self.heading, links))
                 self.tags = 0
+        self.links = self.linked = 0
 
     def unwanted(self, tag: str, attrs: list[tuple[str, str | None]]) -> bool:
         if tag in DROPPED or (tag == "header" and not self.regions):
@@ -82,7 +105,7 @@ class Lines(HTMLParser):
             value = value or ""
             if name == "role" and value.strip().lower() in ROLES:
                 return True
-            if name in ("class", "id") and tag not in ("html", "body") and MARKS.search(value):
+            if name in ("class", "id") and tag not in ("html", "body") and (MARKS_INSIDE if self.regions else MARKS).search(value):
                 return True
             if name == "hidden" or (name == "aria-hidden" and value == "true"):
                 return True
@@ -92,19 +115,27 @@ class Lines(HTMLParser):
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if self.skipped:
-            if tag == self.skipped:
-                self.nested += 1
-                return
-            if not (self.lenient and tag in REGIONS and not self.regions and not self.unwanted(tag, attrs)):
+            ends, walls = IMPLIED.get(self.skipped, (frozenset(), frozenset()))
+            if tag in ends and not walls.intersection(self.inner):
+                self.skipped = ""
+            elif self.lenient and tag in REGIONS and not self.regions and not self.unwanted(tag, attrs):
+                self.skipped = ""
+            else:
+                if tag not in VOID:
+                    self.inner.append(tag)
                 return
-            self.skipped = ""
         if tag not in INLINE:
             self.flush()
             self.heading = tag in HEADINGS
         if tag not in VOID and self.unwanted(tag, attrs):
-            self.skipped, self.nested = tag, 0
+            self.skipped, self.inner = tag, []
             return
         self.tags += 1
+        if tag not in VOID:
+            self.outer.append(tag)
+        if tag == "a":
+            self.link += 1
+            self.links += 1
         if tag == "br":
             self.parts.append(" ")
         if tag in REGIONS:
@@ -118,11 +149,22 @@ class Lines(HTMLParser):
 
     def handle_endtag(self, tag: str) -> None:
         if self.skipped:
+            if tag in self.inner:
+                while self.inner.pop() != tag:
+                    pass
+                return
             if tag == self.skipped:
-                self.nested -= 1
-                if self.nested < 0:
-                    self.skipped = ""
-            return
+                self.skipped = ""
+                return
+            # the end of an element around an unwanted one that has no end tag of its own
+            if self.skipped not in IMPLIED or tag not in self.outer or tag in INLINE:
+                return
+            self.skipped = ""
+        if tag in self.outer and tag not in INLINE:
+            while self.outer.pop() != tag:
+                pass
+        if tag == "a":
+            self.link = max(0, self.link - 1)
         if tag not in INLINE:
             self.flush()
             self.heading = False
@@ -130,9 +172,15 @@ class Lines(HTMLParser):
             while self.regions.pop()[0] != tag:
                 pass
 
+    def parse_marked_section(self, i: int, report: int = 1) -> int:
+        """``<![`` begins a comment up to the next ``>``, as in browsers, whatever follows it."""
+        return self.parse_bogus_comment(i)
+
     def handle_data(self, data: str) -> None:
         if not self.skipped:
             self.parts.append(data)
+            if self.link:
+                self.linked += len("".join(data.split()))
 
 
 def smoothed(ratios: list[float]) -> list[float]:
@@ -177,7 +225,8 @@ def main_text(html: str | None) -> str:
     if not regions:
         regions = {x.region for x in lines if x.region}
     if regions:
-        return "\n".join(x.text for x in lines if x.region in regions)
+        # rows of links in a stretch of few characters a tag are no text of the article
+        return "\n".join(x.text for x, c in zip(lines, content, strict=True) if x.region in regions and (c or not x.links))
     chosen = [i for i, c in enumerate(content) if c]
     first, last = chosen[0], chosen[-1]
     while first and lines[first - 1].heading:

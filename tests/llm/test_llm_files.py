@@ -180,3 +180,35 @@ def test_extract(spark):
 
 def test_smoothing_keeps_constants():
     assert html.smoothed([2.0] * 9) == pytest.approx([2.0] * 9)
+
+
+LINK_ROWS = "".join("<div><a href=x>One</a> <a href=y>Two</a> <a href=z>Three</a></div>" for _ in range(8))
+
+
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        ("<p class=notice>Cookie note<p>Body one is long enough<p>Body two", "Body one is long enough\nBody two"),
+        ("<ul><li class=menu>x<li>keep me</ul><p>Text", "keep me\nText"),
+        ("<article><div class='article-header'><h1>Title</h1></div><p>" + "word " * 50 + "</article>", "Title\n" + ("word " * 50).strip()),
+        ("<p>a <![foo[ b ]]> c<p>rest " + "x " * 30, "a c\nrest " + ("x " * 30).strip()),
+        ("<table><tr><td class=ads>buy<td>cell one</table>", "cell one"),
+        ("<div class=sidebar><p>one</div><p>two", "two"),
+    ],
+)
+def test_malformed_pages(page, want):
+    assert html.main_text(page) == want
+
+
+def test_every_prefix_of_a_page_is_read():
+    page = "<!doctype html><![if x]><p class='a>b'>t &amp; &#x41 <!-- c --><a href=\"q\">l</a><script>var x = '<p>';</script><article><p>z"
+    for n in range(len(page)):
+        html.main_text(page[:n])
+
+
+def test_ratio_clusters_choose_lines(monkeypatch):
+    """Rows of links stay only in clusters of content: without the threshold the same page keeps them all."""
+    page = "<main><p>" + "word " * 60 + "</p><p>" + "more " * 60 + "</p>" + LINK_ROWS + "</main>"
+    assert html.main_text(page).count("One Two Three") <= 2
+    monkeypatch.setattr(html, "content_lines", lambda lines: [True] * len(lines))
+    assert html.main_text(page).count("One Two Three") == 8
