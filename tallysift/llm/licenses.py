@@ -43,20 +43,69 @@ SENTENCES = {
     "ccby4": "Licensed under CC BY 4.0.",
     "ccbysa4": "Licensed under CC BY-SA 4.0.",
     "cc0": "Licensed under CC0 1.0.",
+    "mit-liable": "IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
+    "isc-title": "ISC License",
+    "isc-grant": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+    "apache-title": "Apache License Version 2.0, January 2004",
+    "apache-terms": "TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION",
+    "apache-unless": 'Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.',
+    "gpl2-redist": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
+    "gpl2-only": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License version 2 as published by the Free Software Foundation.",
+    "gpl2-title": "GNU GENERAL PUBLIC LICENSE Version 2, June 1991",
+    "gpl3-title": "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007",
+    "lgpl21-redist": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+    "lgpl3-redist": "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "lgpl-hope": "This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY;",
+    "agpl3-redist": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "mpl2-notice": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
+    "mpl2-copy": "If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",
+    "epl2": "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0",
+    "zlib-asis": "This software is provided 'as-is', without any express or implied warranty.",
+    "zlib-grant": "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:",
+    "unlicense": "This is free and unencumbered software released into the public domain.",
+    "bsl": "Boost Software License - Version 1.0 - August 17th, 2003",
+    "wtfpl": "DO WHAT THE FUCK YOU WANT TO PUBLIC LICENSE",
+    "mit-under": "This project is licensed under the MIT License.",
+    "apache-under": "This project is licensed under the Apache License 2.0.",
+    "gpl-v3": "Licensed under the GNU General Public License v3.0.",
+    "gpl-v2": "Licensed under the GNU General Public License v2.0.",
+    "ccby4-int": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
+    "ccbysa4-int": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
+    "ccbync4-int": "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.",
     "spdx-mit": "SPDX-License-Identifier: MIT",
     "spdx-apache": "SPDX-License-Identifier: Apache-2.0",
+    "spdx-gpl2": "SPDX-License-Identifier: GPL-2.0-only",
+    "spdx-gpl2p": "SPDX-License-Identifier: GPL-2.0-or-later",
+    "spdx-gpl3p": "SPDX-License-Identifier: GPL-3.0-or-later",
+    "spdx-lgpl21": "SPDX-License-Identifier: LGPL-2.1-or-later",
+    "spdx-mpl2": "SPDX-License-Identifier: MPL-2.0",
+    "spdx-bsd2": "SPDX-License-Identifier: BSD-2-Clause",
+    "spdx-isc": "SPDX-License-Identifier: ISC",
+    "spdx-cc0": "SPDX-License-Identifier: CC0-1.0",
     "spdx-gpl3": "SPDX-License-Identifier: GPL-3.0-only",
     "spdx-bsd3": "SPDX-License-Identifier: BSD-3-Clause",
 }
 # The licence that a sequence of sentences names.
 RULES = (
     ("BSD-3-Clause", ("bsd-redist", "bsd-source", "bsd-binary", "bsd-name")),
+    ("MIT", ("mit-title", "mit-grant", "mit-notice", "mit-asis", "mit-liable")),
+    ("MIT", ("mit-title2", "mit-grant", "mit-notice", "mit-asis", "mit-liable")),
+    ("MIT", ("mit-grant", "mit-notice", "mit-asis", "mit-liable")),
+    ("Apache-2.0", ("apache-the", "apache-may", "apache-obtain", "apache-unless")),
     ("MIT", ("mit-title", "mit-grant", "mit-notice", "mit-asis")),
     ("MIT", ("mit-title2", "mit-grant", "mit-notice", "mit-asis")),
     ("MIT", ("mit-grant", "mit-notice", "mit-asis")),
     ("BSD-2-Clause", ("bsd-redist", "bsd-source", "bsd-binary")),
     ("Apache-2.0", ("apache-the", "apache-may", "apache-obtain")),
     ("GPL-3.0-or-later", ("gpl-redist", "gpl-hope")),
+    ("GPL-2.0-or-later", ("gpl2-redist", "gpl-hope")),
+    ("AGPL-3.0-or-later", ("agpl3-redist", "gpl-hope")),
+    ("LGPL-2.1-or-later", ("lgpl21-redist", "lgpl-hope")),
+    ("LGPL-3.0-or-later", ("lgpl3-redist", "lgpl-hope")),
+    ("MPL-2.0", ("mpl2-notice", "mpl2-copy")),
+    ("ISC", ("isc-title", "isc-grant")),
+    ("Zlib", ("zlib-asis", "zlib-grant")),
+    ("Apache-2.0", ("apache-title", "apache-terms")),
     ("Apache-2.0", ("apache-the", "apache-may")),
     ("Apache-2.0", ("apache-lic",)),
     ("MIT", ("mit-rel",)),
@@ -66,6 +115,35 @@ RULES = (
     ("CC-BY-4.0", ("ccby4",)),
     ("CC-BY-SA-4.0", ("ccbysa4",)),
     ("CC0-1.0", ("cc0",)),
+    ("GPL-3.0-or-later", ("gpl-redist",)),
+    ("GPL-2.0-or-later", ("gpl2-redist",)),
+    ("GPL-2.0-only", ("gpl2-only",)),
+    ("GPL-2.0", ("gpl2-title",)),
+    ("GPL-3.0", ("gpl3-title",)),
+    ("AGPL-3.0-or-later", ("agpl3-redist",)),
+    ("LGPL-2.1-or-later", ("lgpl21-redist",)),
+    ("LGPL-3.0-or-later", ("lgpl3-redist",)),
+    ("MPL-2.0", ("mpl2-notice",)),
+    ("ISC", ("isc-grant",)),
+    ("EPL-2.0", ("epl2",)),
+    ("Unlicense", ("unlicense",)),
+    ("BSL-1.0", ("bsl",)),
+    ("WTFPL", ("wtfpl",)),
+    ("MIT", ("mit-under",)),
+    ("Apache-2.0", ("apache-under",)),
+    ("GPL-3.0", ("gpl-v3",)),
+    ("GPL-2.0", ("gpl-v2",)),
+    ("CC-BY-4.0", ("ccby4-int",)),
+    ("CC-BY-SA-4.0", ("ccbysa4-int",)),
+    ("CC-BY-NC-4.0", ("ccbync4-int",)),
+    ("GPL-2.0-only", ("spdx-gpl2",)),
+    ("GPL-2.0-or-later", ("spdx-gpl2p",)),
+    ("GPL-3.0-or-later", ("spdx-gpl3p",)),
+    ("LGPL-2.1-or-later", ("spdx-lgpl21",)),
+    ("MPL-2.0", ("spdx-mpl2",)),
+    ("BSD-2-Clause", ("spdx-bsd2",)),
+    ("ISC", ("spdx-isc",)),
+    ("CC0-1.0", ("spdx-cc0",)),
     ("MIT", ("spdx-mit",)),
     ("Apache-2.0", ("spdx-apache",)),
     ("GPL-3.0-only", ("spdx-gpl3",)),

@@ -565,3 +565,17 @@ def test_wrapped_licences(spark):
 def test_digest_of_kept(spark, docs):
     out = suffix_dedup.dedup_substrings(docs).select("kept", F.sha2("kept", 256).alias("h")).collect()
     assert all(hashlib.sha256(bytes(r["kept"])).hexdigest() == r["h"] for r in out)
+
+
+def test_every_rule_is_reached(spark):
+    """Each rule's sentences, wrapped at 60 columns behind a comment sign, give its licence; the tables name no sentence twice."""
+    import textwrap
+
+    used = {x for _, ids in licenses.RULES for x in ids}
+    assert used <= set(licenses.SENTENCES) and len({licenses.plain(x) for x in licenses.SENTENCES.values()}) == len(licenses.SENTENCES)
+    rows = []
+    for i, (_, ids) in enumerate(licenses.RULES):
+        wrapped = "\n\n".join("\n".join(f"# {line}" for line in textwrap.wrap(licenses.SENTENCES[x], 60)) for x in ids)
+        rows.append((i, f"Some words before.\n\n{wrapped}\n\nand after"))
+    got = {r["doc_id"]: r["licences"] for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: name for i, (name, _) in enumerate(licenses.RULES)}
