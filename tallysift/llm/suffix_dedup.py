@@ -58,13 +58,12 @@ class Runs:
             return
         self.prefix, self.inverse = sums(SYMBOL[self.raw]), powers(UNBASE, n + 1)
         value = mixed((self.prefix[gram:] - self.prefix[: n - gram + 1]) * self.inverse[: n - gram + 1])
-        hashes = value
-        place, span = np.arange(len(value), dtype=np.int32), 1
+        # the least of the hashes' upper halves, the leftmost of equals: the lower half is the place
+        least_of = (value & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(value), dtype=np.uint64)
+        span = 1
         while span < w:
             step = min(span, w - span)
-            a, b = value[:-step], value[step:]
-            left = a <= b
-            value, place = np.where(left, a, b), np.where(left, place[:-step], place[step:])
+            least_of = np.minimum(least_of[:-step], least_of[step:])
             span += step
         # windows that do not cross the end of their text
         inside = np.ones(n - least + 1, bool)
@@ -73,12 +72,12 @@ class Runs:
         starts = np.flatnonzero(inside)
         if not len(starts):
             return
-        at = place[starts]
-        text = np.searchsorted(self.ends, starts, side="right") - 1
+        at = (least_of[starts] & np.uint64(0xFFFFFFFF)).astype(np.int64)
+        text = np.repeat(np.arange(len(texts), dtype=np.int32), np.diff(self.ends))[starts].astype(np.int64)
         new = np.flatnonzero(np.concatenate([[True], (at[1:] != at[:-1]) | (text[1:] != text[:-1])]))
         self.low, self.high = starts[new], starts[np.append(new[1:], len(starts)) - 1]
-        self.text, self.place = text[new], at[new].astype(np.int64)
-        self.gram = hashes[self.place]
+        self.text, self.place = text[new], at[new]
+        self.gram = value[self.place]
 
     def hashes(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         return span_hashes(self.prefix, start, end, self.inverse)

@@ -29,8 +29,22 @@ BASE = 0xD1342543DE82EF95
 UNBASE = pow(BASE, -1, 1 << 64)
 
 
+#: Powers that are kept: those of a base, up to so many.
+KEPT = 1 << 22
+_kept: dict[int, np.ndarray] = {}
+
+
 def powers(base: int, n: int) -> np.ndarray:
     """1, base, base ** 2, ... modulo 2 ** 64."""
+    if n > KEPT:
+        return _powers(base, n)
+    if len(_kept.get(base, ())) < n:
+        _kept[base] = _powers(base, min(KEPT, 2 * n))
+        _kept[base].setflags(write=False)
+    return _kept[base][:n]
+
+
+def _powers(base: int, n: int) -> np.ndarray:
     out = np.ones(n, np.uint64)
     filled = 1
     while filled < n:
