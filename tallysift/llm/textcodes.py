@@ -39,7 +39,7 @@ def powers(base: int, n: int) -> np.ndarray:
     if n > KEPT:
         return _powers(base, n)
     if len(_kept.get(base, ())) < n:
-        _kept[base] = _powers(base, min(KEPT, 2 * n))
+        _kept[base] = _powers(base, n)
         _kept[base].setflags(write=False)
     return _kept[base][:n]
 
