@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import os
 import random
 import re
 
@@ -11,6 +12,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallysift.llm import decontaminate, kneser_ney, licenses, line_dedup, mixing, signature_join, suffix_dedup
+from tallysift.session import table
+
+SF = "/root/testdata/sf0.01"
 
 WORDS = "river stone lantern meadow copper window thunder basket marble harbor velvet candle orchard whistle garden timber silver pocket".split()
 
@@ -359,6 +363,35 @@ def test_every_language_has_its_own_threshold(spark):
         assert limits[x] == pytest.approx((n * own + 20 * every) / (n + 20) + kneser_ney.MARGIN)
 
 
+def test_trusted_ids_of_several_rows(spark):
+    rng = random.Random(6)
+    rows = [(k, prose(rng, 40), "en") for k in range(60)]
+    rows += [rows[0]] * 3 + [(1, prose(rng, 40), "en"), (1, None, "de"), (2, rows[2][1], None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    trusted = docs.select("doc_id").filter("doc_id < 40")
+    out = kneser_ney.classify(docs, trusted).collect()
+    assert sorted(r["doc_id"] for r in out) == sorted(k for k, _, _ in rows)
+    assert len({r["score"] for r in out if r["doc_id"] == 0}) == 1
+    assert sorted(r["doc_id"] for r in out if r["keep"]) == sorted(r["doc_id"] for r in kneser_ney.keep_good(docs, trusted).collect())
+    one = kneser_ney.classify(docs, trusted.filter("doc_id = 5")).collect()
+    assert len(one) == len(rows) and {r["doc_id"]: r["keep"] for r in one}[5]
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+def test_clean_documents_outside_the_training_are_kept(spark):
+    """Half of the good labels of sf0.01 train the model; of the other half nearly all are kept, and junk is rejected."""
+    docs, labels = table(spark, SF, "documents"), table(spark, SF, "labels")
+    half = kneser_ney.trusted_ids(labels).filter("pmod(xxhash64(7, doc_id), 2) = 0")
+    trusted = {r["doc_id"] for r in half.collect()}
+    label = {r["doc_id"]: r for r in labels.collect()}
+    out = {r["doc_id"]: r["keep"] for r in kneser_ney.classify(docs, half).filter("units > 0").collect()}
+    held = [out[i] for i, r in label.items() if i in out and r["quality"] == 1 and not r["toxic"] and i not in trusted]
+    junk = [out[i] for i, r in label.items() if i in out and r["quality"] == 0]
+    assert len(held) > 100 and sum(held) >= 0.98 * len(held)
+    assert len(junk) > 40 and sum(junk) <= 0.05 * len(junk)
+    assert {i for i in trusted if i in out and out[i]} == {r["doc_id"] for r in kneser_ney.keep_good(docs.join(half, "doc_id", "left_semi").select(docs.columns), half).collect()}
+
+
 # --- benchmark -----------------------------------------------------------------------------------------------
 
 
