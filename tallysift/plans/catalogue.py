@@ -493,7 +493,7 @@ def cross_side_pairs(spark, sf):
 
 def grouped(spark, sf):
     h = settle(hashes(spark, sf), "hashes")
-    return h, neardup.groups(h.select("id"), neardup.hamming_pairs(h, h, NEAR))
+    return h, settle(neardup.near_groups(h, NEAR), "groups")
 
 
 @query(f"with recursive {_GROUPS} select * from g")

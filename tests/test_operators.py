@@ -5,11 +5,13 @@ from __future__ import annotations
 import random
 from collections import defaultdict
 
+import pytest
 from pyspark.sql import functions as F
 
 from tallysift.functions import scalar
-from tallysift.operators import neardup, proposals, quality, sweep, validate, windows
+from tallysift.operators import blocks, neardup, proposals, quality, sweep, validate, windows
 from tallysift.operators.components import connected_components
+from tallysift.session import settle
 from tallysift.streaming import alarm
 
 
@@ -44,6 +46,66 @@ def test_banded_join_equals_nested_loop(spark):
     assert slow == fast and slow
 
 
+def near_hashes(spark):
+    """Rows (id, h, side): some near each other, one hash twice, one row without hash; 0 to 9 bits are flipped."""
+    rng = random.Random(7)
+    base = [rng.getrandbits(64) for _ in range(90)]
+    values = base + [h ^ sum(1 << b for b in rng.sample(range(64), rng.randrange(10))) for h in base * 2]
+    rows = [(i * 7 % 271, h - (1 << 64) if h >= 1 << 63 else h, "val" if i % 5 == 0 else "train") for i, h in enumerate(values)]
+    return rows + [(500, None, "train")]
+
+
+@pytest.fixture
+def small_blocks(monkeypatch):
+    monkeypatch.setattr(blocks, "LEAST", 32)
+    monkeypatch.setattr(blocks, "TILE", (4, 16))
+    monkeypatch.setattr(blocks, "BATCH", 8)
+
+
+def brute_groups(rows, distance):
+    root = {r[0]: r[0] for r in rows}
+    near = [(a, b) for a, h, _ in rows for b, g, _ in rows if a < b and h is not None and g is not None and bin((h ^ g) & (1 << 64) - 1).count("1") <= distance]
+    changed = True
+    while changed:
+        changed = False
+        for a, b in near:
+            least = min(root[a], root[b])
+            changed |= root[a] != least or root[b] != least
+            root[a] = root[b] = least
+    return root, near
+
+
+@pytest.mark.parametrize("few", [1, 50_000])
+def test_groups_by_blocks_equal_brute_force(spark, small_blocks, monkeypatch, few):
+    monkeypatch.setattr(blocks, "FEW_ROWS", few)
+    rows = near_hashes(spark)
+    table = spark.createDataFrame(rows, "id long, h long, side string")
+    for distance in (4, 20):
+        got = neardup.near_groups(table, distance).collect()
+        assert sorted(map(tuple, got)) == sorted(brute_groups(rows, distance)[0].items())
+
+
+def test_pairs_by_blocks_are_rows_of_no_join(spark, small_blocks):
+    # a join of all pairs, or of all that agree in three bits by chance, is what failed by time at 1 GB
+    table = spark.createDataFrame(near_hashes(spark), "id long, h long, side string")
+    found = neardup.hamming_pairs(table, table, 20)
+    assert "NestedLoop" not in (plan := found._jdf.queryExecution().executedPlan().toString()) and "Generate explode(array(" not in plan
+    assert {tuple(r)[:2] for r in found.collect()} == set(brute_groups(near_hashes(spark), 20)[1])
+    assert not neardup.spares(20, 100_000) and not neardup.spares(22, 100_000_000) and neardup.spares(4, 100_000)
+
+
+def test_closest_groups_and_gates_by_blocks_equal_pairs(spark, small_blocks):
+    rows = near_hashes(spark)[:-1]
+    groups, _ = brute_groups(rows, 4)
+    table = spark.createDataFrame([(i, h, groups[i], ("holdout", "train", "calibration", "quarantine")[i % 4], i % 2) for i, h, _ in rows], "id long, h long, root long, part string, label int")
+    for distance in (18, 22):
+        pairs = settle(neardup.hamming_pairs(table, table, distance), "pairs")
+        for most in (1, 8):
+            assert neardup.closest_near_groups(table, distance, most).collect() == neardup.closest_groups(table.select("id", "root"), pairs, most).collect()
+        floors = {"holdout": {"n": 10, "pos": 500}}
+        assert sorted(neardup.near_gates(table, distance, floors).collect()) == sorted(neardup.gates(table, pairs, floors).collect())
+
+
 def iou(a, b):
     w, h = max(0, min(a[2], b[2]) - max(a[0], b[0])), max(0, min(a[3], b[3]) - max(a[1], b[1]))
     area = lambda c: max(0, c[2] - c[0]) * max(0, c[3] - c[1])
