@@ -421,7 +421,7 @@ l as (select least(x.root, y.root) as x, greatest(x.root, y.root) as y, min(d) a
 select x, y, d from l order by d, x, y limit 8""")
 def closest_groups(spark, sf):
     h, g = grouped(spark, sf)
-    return neardup.closest_groups(g, neardup.hamming_pairs(h, h, EDGE))
+    return neardup.closest_near_groups(h.join(g, "id").select("id", "h", "root"), EDGE)
 
 
 @query(f"""with recursive {_REGROUP} select 'before' as state, side as split, count(*) as n, count(*) filter (id % 3 = 0) as pos, round_even(count(*) filter (id % 3 = 0) / count(*)::double, 4) as pos_rate from n group by side
