@@ -457,7 +457,7 @@ union all select 'cross_links', v, 0, v = 0 from crossing""")
 def split_gates(spark, sf):
     rows, found = parts(spark, sf)
     floors = {"calibration": {"n": 90, "pos": 30}, "holdout": {"n": 10}, "train": {"neg": 100}}
-    return neardup.gates(found.join(rows.select("id", "label"), "id"), neardup.hamming_pairs(rows, rows, NEAR), floors)
+    return neardup.near_gates(found.join(rows.select("id", "h", "label"), "id"), NEAR, floors)
 
 
 # --- sources and sinks, written to the shared folder and read again -----------------------------------------
