@@ -266,6 +266,19 @@ def test_line_dedup_keeps_columns_of_all_names(spark):
     assert [(r["text"], r["gone"], r["maybe"], r["key"]) for r in got] == [(rows[0][1], 7, 8, 9), ("", 7, 8, 9)]
 
 
+def test_large_minhash_buckets_lose_no_link(spark):
+    """Lines of the same words in other orders share all buckets, so that a line and its twin stand far apart in each."""
+    rng = random.Random(3)
+    words = [f"{a}{b}{i}" for i, (a, b) in enumerate(zip(["stone", "river", "copper", "lamp"] * 5, ["ad", "ol", "en", "ir", "um"] * 4, strict=True))]
+    rows = []
+    for i in range(25):
+        order = rng.sample(words, len(words))
+        twin = order[:8] + [order[9], order[8]] + order[10:]
+        rows += [(i, " ".join(order)), (100 + i, " ".join(twin))]
+    got = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"), short=True, bands=True).collect()
+    assert {r["doc_id"]: r["n_dropped"] for r in got} == {i: int(i >= 100) for i, _ in rows}
+
+
 def test_near_lines_are_found(spark, tmp_path):
     """Pairs of edit similarity 0.8 or more, by brute force, of lines of several lengths: nearly all lose the later line."""
 
