@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import inspect
 import os
 import random
 import re
@@ -339,6 +340,15 @@ def test_discounts():
     assert len(kneser_ney.discounts([0, 0, 0, 0])) == 3
 
 
+def test_all_trusted_documents_take_part(spark):
+    docs = spark.createDataFrame([(i, "en", f"the river runs past stone number {i} and on") for i in range(40)], "doc_id long, lang string, text string")
+    trusted = docs.select("doc_id").filter("doc_id % 4 > 0")
+    assert kneser_ney.fit(docs, trusted, None, 0.999, 0.05)[4].count() == 30
+    for of in (kneser_ney.classify, kneser_ney.keep_good, kneser_ney.fit):
+        default = inspect.signature(of).parameters["rows"].default
+        assert default in (None, inspect.Parameter.empty)
+
+
 def test_quality(spark):
     rng = random.Random(4)
     good = [(i, prose(rng, 60), rng.choice(["en", "de", None]), "s") for i in range(300)]
