@@ -369,6 +369,36 @@ def test_quality(spark):
     assert kneser_ney.classify(docs.limit(0), trusted).count() == 0
 
 
+def test_texts_are_judged_where_they_are_read(spark, monkeypatch):
+    """Filters tell trusted rows: no text is shuffled for them, and where the filters are full nothing changes."""
+
+    def shuffled(plan) -> int:
+        name = plan.nodeName()
+        inner = [plan.executedPlan()] if name.startswith("AdaptiveSparkPlan") else [plan.plan()] if "QueryStage" in name else [plan.children().apply(i) for i in range(plan.children().size())]
+        own = plan.metrics().apply("dataSize").value() if name == "Exchange" else 0
+        return own + sum(map(shuffled, inner))
+
+    rng = random.Random(7)
+    word = lambda: "".join(rng.choice("abcdeghilmnoprstu") for _ in range(rng.randint(2, 9)))
+    rows = [(i, "en" if i % 3 else None, " ".join(word() for _ in range(400))) for i in range(120)] + [(5, "en", "another row of this id"), (None, "en", "no id at all here")]
+    docs = spark.createDataFrame(rows, "doc_id long, lang string, text string")
+    trusted = docs.filter("doc_id % 2 = 0 or doc_id = 5").select("doc_id")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        kept = kneser_ney.keep_good(docs, trusted)
+        assert kept.count() > 100
+        kept.collect()
+        assert shuffled(kept._jdf.queryExecution().executedPlan()) < sum(len(t) for _, _, t in rows) / 10
+        parts = []
+        for cells in (1 << 20, 1):
+            monkeypatch.setattr(kneser_ney, "CELLS", cells)
+            parts.append([sorted(map(str, x.collect())) for x in kneser_ney.trusted_rows(docs, trusted, None)(docs)])
+        assert parts[0] == parts[1] and [len(x) for x in parts[0]] == [61, 61]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 def test_every_language_has_its_own_threshold(spark):
     """Each threshold lies between the language's quantile and that of all, nearer to its own the more documents it has."""
     rng = random.Random(5)
