@@ -8,9 +8,10 @@ that difference can have at a size, so such sets agree in at least one whole par
 so that both sets of a pair are dealt the same way. Only part hashes are shuffled.
 
 Candidates (exact), by prefixes: where parts would hold fewer than ``PART_TOKENS`` tokens, they would often agree by
-chance, and the tokens themselves are shuffled instead. In any one order of all tokens, linked sets share one
-among the first ``size - ceil(size * num / den) + 1`` of each. The order puts tokens of a single set first, so a set
-takes part only if so many of its tokens occur elsewhere that a link is possible.
+chance, and the tokens themselves are shuffled instead. In any one order of all tokens, linked sets share m
+among the first ``size - ceil(size * num / den) + m`` of each. Only these are shuffled, in the order of the hashes, with m a tenth
+or so of the size. Of these in turn, all but m - 1 must share one in any order. That order puts tokens of a single set first, so
+a set takes part only if m of them occur elsewhere, and then rare ones, so that common ones seldom bring sets together.
 
 Rows that share a key within a task's batch leave it as one row of that key, so that a key of a third of all rows
 is spread.
@@ -21,8 +22,8 @@ the range of sizes, and the largest number of tokens that share a bit with anoth
 A dual traversal drops node pairs whose largest possible overlap is below what their sizes need, and
 pairs whose sets are in one component already; pairs of sets are verified on the sets themselves.
 For groups of several blocks, one member of each component of each block is joined next, and then
-members outside the group's largest component against all blocks, so that no link between
-components is lost and no block meets all others.
+members outside the group's largest component against the blocks of their own size class and its
+neighbours, so that no link between components is lost and no block meets all others.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallysift.llm.bitset import MAYBE, OWN, bitset, maybe_in
@@ -47,6 +48,8 @@ BLOCK_TOKENS, BLOCK_BYTES = 1 << 20, 4 << 20
 BITMAP_BYTES = 16 << 20
 #: Tokens that a part must hold on average; else prefixes of tokens are the candidates' keys.
 PART_TOKENS = 6
+#: Of so many tokens that linked sets share, one more than must be is in the prefixes that are shuffled.
+SPARE = 8
 #: Children of a tree node.
 FANOUT = 8
 #: Fixed odd multipliers of a shingle's words, by place.
@@ -157,16 +160,21 @@ class Bands:
         return np.concatenate(out).view(np.int64)
 
 
+def bitmap_bits(*sides: list[np.ndarray]) -> int:
+    """Bits of the bitmaps of trees that are traversed together: of one width, whatever the sizes and numbers of their sets."""
+    largest, most = max((len(s) for side in sides for s in side), default=1), max(map(len, sides))
+    bits = 1 << max(9, int(4 * largest - 1).bit_length())
+    return min(bits, 1 << 15, 1 << max(9, (8 * BITMAP_BYTES // max(1, most)).bit_length() - 1))
+
+
 class Tree:
     """Signature tree over sets, in the order given by size and least token."""
 
-    def __init__(self, sets: list[np.ndarray]):
+    def __init__(self, sets: list[np.ndarray], bits: int):
         sizes = np.array([len(s) for s in sets], np.int64)
         self.order = np.lexsort(([int(s[0]) for s in sets], sizes)) if len(sets) else np.zeros(0, np.int64)
         self.sets = [sets[i] for i in self.order]
         self.sizes = sizes[self.order]
-        bits = 1 << max(9, int(4 * max(sizes, default=1) - 1).bit_length())
-        bits = min(bits, 1 << 15, 1 << max(9, (8 * BITMAP_BYTES // max(1, len(sets))).bit_length() - 1))
         maps = np.zeros((len(sets), bits // 64), np.uint64)
         for i, s in enumerate(self.sets):
             place = (s >> np.uint64(40)) % np.uint64(bits)
@@ -261,11 +269,14 @@ def _links_in(rows: pa.Table, width: int, num: int, den: int) -> pa.Table:
         first.setdefault(at, i)
     comps, texts = rows.column("comp").to_pylist(), rows.column("text")
     numbers: dict[int, int] = {}
-    sides = []
+    dealt, sides = [], []
     for side in (0, 1):
         keys, at = [k for s, k in first if s == side], [i for (s, _), i in first.items() if s == side]
         sets = [x for some in _sized(texts[i].as_py() for i in at) for x in shingle_sets(some, width)]
-        tree = Tree(sets)
+        dealt.append((keys, at, sets))
+    bits = bitmap_bits(*(sets for _, _, sets in dealt))
+    for keys, at, sets in dealt:
+        tree = Tree(sets, bits)
         labels = np.array([numbers.setdefault(comps[i], len(numbers)) for i in at], np.int64)[tree.order] if keys else np.zeros(0, np.int64)
         sides.append(([keys[i] for i in tree.order], tree, labels))
     (ka, ta, la), (kb, tb, lb) = sides
@@ -310,12 +321,15 @@ def _dealt(texts: DataFrame, width: int, keys_of: Callable[[np.ndarray], np.ndar
     return texts.mapInArrow(deal, "key long, id long, n int")
 
 
-def _shared(dealt: DataFrame) -> DataFrame:
-    """(key, id) of keys of several ids, settled; a row may repeat."""
+def _shared(dealt: DataFrame, count: bool = False) -> DataFrame:
+    """(key, id) of keys of several ids, settled; a row may repeat. ``count``: with df, some number of rows that is the same in all rows of a key, else null."""
     by_key = Window.partitionBy("key")
     found = dealt.withColumn("shared", (F.max("n").over(by_key) > 1) | (F.min("id").over(by_key) != F.max("id").over(by_key)))
     key = F.when(F.col("n") == 0, F.col("key").bitwiseXOR(F.col("id"))).otherwise(F.col("key"))
-    return settle(found.filter("n = 0 or shared").select(key.alias("key"), "id"), "jaccard-shared")
+    df = []
+    if count:
+        found, df = found.withColumn("df", F.sum("n").over(by_key)), [F.when(F.col("n") > 0, F.col("df")).alias("df")]
+    return settle(found.filter("n = 0 or shared").select(key.alias("key"), "id", *df), "jaccard-shared")
 
 
 def _stars(shared: DataFrame) -> DataFrame:
@@ -330,16 +344,33 @@ def _share_part(texts: DataFrame, width: int, num: int, den: int) -> DataFrame:
     return _stars(_shared(_dealt(texts, width, bands.keys)))
 
 
+def in_prefixes(size: int | Column, num: int, den: int):
+    """Tokens that sets of this size or larger, if linked, share in their prefixes; never less for larger sizes."""
+    if isinstance(size, Column):
+        return F.greatest(F.lit(1), F.floor(size * num / (SPARE * den)))
+    return max(1, size * num // (SPARE * den))
+
+
+def prefix(tokens: np.ndarray, num: int, den: int) -> np.ndarray:
+    """The first tokens of a set by hash: two sets that link share ``in_prefixes`` of the smaller one's size in these."""
+    n = len(tokens)
+    return tokens[: n - -(-n * num // den) + in_prefixes(n, num, den)]
+
+
 def _share_prefix(texts: DataFrame, classes: DataFrame, width: int, num: int, den: int) -> DataFrame:
     """Edges between classes whose prefixes share a token."""
-    shared = _shared(_dealt(texts, width, lambda tokens: tokens.view(np.int64)))
+    shared = _shared(_dealt(texts, width, lambda tokens: prefix(tokens, num, den).view(np.int64)), count=True)
+    # rows that were dealt at random do not know how often their key is
+    counts = shared.filter("df is not null").groupBy("key").agg(F.max("df").alias("often"))
     of_set = Window.partitionBy("id")
     ranked = (
-        shared.join(classes.select(F.col("node").alias("id"), "n"), "id")
-        .withColumn("rank", F.dense_rank().over(of_set.orderBy("key")))
+        shared.select("key", "id")
+        .join(counts, "key")
+        .join(classes.select(F.col("node").alias("id"), "n"), "id")
+        .withColumn("rank", F.dense_rank().over(of_set.orderBy("often", "key")))
         .withColumn("known", F.max("rank").over(of_set))
-        # tokens of this set alone come before those
-        .withColumn("first", F.col("known") - F.ceil(F.col("n") * num / den) + 1)
+        # a set of this size may link with one as small as that; tokens of this set alone come before those
+        .withColumn("first", F.col("known") - in_prefixes(F.ceil(F.col("n") * num / den), num, den) + 1)
     )
     return _stars(settle(ranked.filter("rank <= first").select("key", "id").distinct(), "jaccard-prefixes"))
 
@@ -382,8 +413,7 @@ def jaccard_components(docs: DataFrame, width: int, num: int, den: int) -> DataF
         F.col("node").alias("id"), "root", F.struct("home.doc_id", "home.t").alias("home"), "n", F.col("home.chars").alias("chars")
     )
     members = settle(members, "jaccard-members")
-    most = F.greatest(F.floor(F.sum("n") / BLOCK_TOKENS), F.floor(F.sum("chars") / BLOCK_BYTES))
-    sizes = members.groupBy("root").agg((most + 1).cast("int").alias("blocks"))
+    sizes = members.groupBy("root").agg(_bounded().alias("blocks"))
     block = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block")
     loose, members = members, settle(members.join(sizes, "root").select("id", "root", "home", "n", "chars", "blocks", block), "jaccard-blocks")
     discard(met, groups, loose)
@@ -397,7 +427,7 @@ def jaccard_components(docs: DataFrame, width: int, num: int, den: int) -> DataF
     alone = placed.select("id", "text", "root", "block", F.lit(0).alias("side"), F.col("id").alias("comp"))
     found = settle(links(alone, "root", "block"), "jaccard-links")
     if not members.filter("blocks > 1").isEmpty():
-        found = _across(settle(placed.filter("blocks > 1"), "jaccard-placed"), found, links)
+        found = _across(settle(placed.filter("blocks > 1"), "jaccard-placed"), found, links, den / num)
     comps = connected_components(found)
     named = rows.filter("n_shingles > 0").select("doc_id", "t", "n_shingles", "set_a", "set_b")
     linked = named.join(comps.select(F.col("node").alias("set_a"), "root"), "set_a", "left").withColumn("root", F.coalesce("root", "set_a"))
@@ -408,8 +438,16 @@ def jaccard_components(docs: DataFrame, width: int, num: int, den: int) -> DataF
     return linked.join(least, "root").withColumnRenamed("root", "component").select(columns).unionByName(empty.select(columns))
 
 
-def _across(wide: DataFrame, found: DataFrame, links) -> DataFrame:
-    """Links between the blocks of groups that have several."""
+def _bounded() -> Column:
+    """The number of blocks that hold the rows of an aggregate."""
+    return (F.greatest(F.floor(F.sum("n") / BLOCK_TOKENS), F.floor(F.sum("chars") / BLOCK_BYTES)) + 1).cast("int")
+
+
+def _across(wide: DataFrame, found: DataFrame, links, ratio: float) -> DataFrame:
+    """Links between the blocks of groups that have several; no set that links is more than ratio times the other."""
+    # a little wider than the ratio, so that rounding never puts sets that link further apart than in neighbours
+    wide = wide.withColumn("class", F.floor(F.log("n") / F.log(F.lit(1.01 * ratio))).cast("int"))
+    at = ["root", "class"]
 
     def comps_now() -> DataFrame:
         comps = settle(connected_components(found), "jaccard-comps")
@@ -419,25 +457,25 @@ def _across(wide: DataFrame, found: DataFrame, links) -> DataFrame:
         )
 
     now = comps_now()
-    # one member of each component of each block, in blocks again
-    firsts = now.groupBy("root", "block", "comp").agg(F.min_by("id", F.xxhash64("id")).alias("id"))
-    reps = firsts.join(now.select("id", "text", "blocks").dropDuplicates(["id"]), "id")
-    reps = reps.select("root", F.pmod(F.xxhash64("id", F.lit(1)), F.ceil(F.sqrt("blocks"))).cast("int").alias("block"), "id", "text", F.lit(0).alias("side"), "comp")
-    found = settle(found.unionByName(links(reps, "root", "block")), "jaccard-links")
+    # one member of each component of each block, in blocks again, by size
+    firsts = now.groupBy("root", "block", "comp").agg(F.min_by("id", F.xxhash64("id")).alias("id")).select("id")
+    reps = now.dropDuplicates(["id"]).join(firsts, "id", "left_semi")
+    reps = reps.drop("blocks").join(reps.groupBy(at).agg(_bounded().alias("blocks")), at)
+    reps = reps.select(*at, F.pmod(F.xxhash64("id", F.lit(1)), F.col("blocks")).cast("int").alias("block"), "id", "text", F.lit(0).alias("side"), "comp")
+    found = settle(found.unionByName(links(reps, *at, "block")), "jaccard-links")
     now = comps_now()
-    # members outside the largest component of their group against every block of it
+    # members outside the largest component of their group against all of their size class and its neighbours
     sizes = now.groupBy("root", "comp").agg(F.count("*").alias("m"))
     tops = sizes.groupBy("root").agg(F.max(F.struct("m", "comp")).alias("top"), F.count("*").alias("comps")).filter("comps > 1")
-    open_ = settle(now.join(tops.select("root", F.col("top.comp").alias("top")), "root"), "jaccard-open")
-    small = open_.filter("comp <> top")
-    most = F.greatest(F.floor(F.sum("n") / BLOCK_TOKENS), F.floor(F.sum("chars") / BLOCK_BYTES))
-    totals = small.groupBy("root").agg((most + 1).cast("int").alias("chunks"))
-    small = small.join(totals, "root").withColumn("chunk", F.pmod(F.xxhash64("id", F.lit(2)), F.col("chunks")).cast("int"))
-    against = small.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    left = against.select("root", "block", "chunk", "id", "text", F.lit(0).alias("side"), "comp")
-    right = open_.join(totals, "root").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    right = right.select("root", "block", "chunk", "id", "text", F.lit(1).alias("side"), "comp")
-    return settle(found.unionByName(links(left.unionByName(right), "root", "block", "chunk")), "jaccard-links")
+    open_ = settle(now.drop("block", "blocks").join(tops.select("root", F.col("top.comp").alias("top")), "root"), "jaccard-open")
+    small = open_.filter("comp <> top").withColumn("class", F.explode(F.array(F.col("class") - 1, F.col("class"), F.col("class") + 1)))
+    totals = settle(open_.groupBy(at).agg(_bounded().alias("blocks")).join(small.groupBy(at).agg(_bounded().alias("chunks")), at), "jaccard-totals")
+    part = lambda seed, n: F.pmod(F.xxhash64("id", F.lit(seed)), F.col(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = small.join(totals, at).withColumn("chunk", part(2, "chunks")).withColumn("block", each("blocks")).withColumn("side", F.lit(0))
+    right = open_.join(totals, at).withColumn("block", part(3, "blocks")).withColumn("chunk", each("chunks")).withColumn("side", F.lit(1))
+    columns = [*at, "block", "chunk", "id", "text", "side", "comp"]
+    return settle(found.unionByName(links(left.select(columns).unionByName(right.select(columns)), *at, "block", "chunk")), "jaccard-links")
 
 
 def keep_first(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:

@@ -9,6 +9,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -132,6 +133,57 @@ def test_jaccard_is_exact(spark, docs, monkeypatch, width, num, den, block):
     assert got == want
 
 
+def test_sides_of_other_sizes_are_joined():
+    """A block of short sets meets one that holds a long set, too: bitmaps of both have one width."""
+    rng = random.Random(6)
+    some = [prose(rng, 40) for _ in range(5)]
+    rows = [(i, 0, i, t) for i, t in enumerate(some)] + [(10, 1, 10, some[3] + " more"), (11, 1, 11, prose(rng, 3000))]
+    found = signature_join._links_in(pa.table(dict(zip(("id", "side", "comp", "text"), map(list, zip(*rows, strict=True)), strict=True))), 5, 80, 100)
+    assert found.to_pylist() == [{"src": 3, "dst": 10}]
+
+
+def test_prefixes_of_linked_sets_share_enough():
+    """Of two sets that link just so, the first tokens share at least what candidates are asked for, whatever the sizes."""
+    rng = np.random.default_rng(7)
+    for n in [*range(1, 40), 200, 1000]:
+        for extra in {0, n // 9, n // 4}:
+            for gone in {0, (n * 100 - 80 * (n + extra)) // 100}:
+                both = rng.integers(0, 1 << 63, n + extra, dtype=np.uint64)
+                a, b = np.sort(both[:n]), np.sort(both[gone:])
+                common = n - gone
+                if common * 100 < 80 * (n + extra):
+                    continue
+                met = len(np.intersect1d(signature_join.prefix(a, 80, 100), signature_join.prefix(b, 80, 100)))
+                for size in (len(a), len(b)):
+                    assert met >= signature_join.in_prefixes(-(-size * 80 // 100), 80, 100) >= 1
+
+
+def test_wide_groups_of_prefixes_lose_no_link(spark, monkeypatch):
+    """A group of many sizes, held together by a common passage, in many blocks: links are those of all pairs."""
+    monkeypatch.setattr(signature_join, "BLOCK_TOKENS", 250)
+    rng = random.Random(16)
+    passage, rows = prose(rng, 60), []
+    for i in range(60):
+        own = passage + " " + prose(rng, rng.randrange(4, 120))
+        rows += [(i, own), (100 + i, own + " " + prose(rng, rng.randrange(1, 40)))]
+    sets = {i: shingles(t, 5) for i, t in rows}
+    root = {i: i for i, _ in rows}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in sets:
+        for j in sets:
+            common = len(sets[i] & sets[j])
+            if i < j and common * 100 >= 80 * (len(sets[i]) + len(sets[j]) - common) and find(i) != find(j):
+                root[max(find(i), find(j))] = min(find(i), find(j))
+    got = signature_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), 5, 80, 100).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == {i: find(i) for i in sets}
+    assert 20 < len({find(i) for i in sets}) < 120
+
+
 def test_keep_first(spark, docs):
     kept = signature_join.keep_first(docs, 5, 80, 100)
     assert kept.columns == docs.columns
