@@ -11,6 +11,7 @@ import re
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tallysift.llm import decontaminate, kneser_ney, licenses, line_dedup, mixing, signature_join, suffix_dedup
@@ -332,6 +333,26 @@ def test_large_minhash_buckets_lose_no_link(spark):
     assert {r["doc_id"]: r["n_dropped"] for r in got} == {i: int(i >= 100) for i, _ in rows}
 
 
+def test_lines_of_other_lengths_are_no_candidates(spark):
+    """Lines of the same words meet in all buckets, but only lengths that fit are paired; the links between them are found."""
+    rng = random.Random(4)
+    words = [f"{a}{b}" for a in ("stone", "river", "copper") for b in ("ad", "ol", "en", "ir")]
+    rows = []
+    for n in (1, 2, 4, 8):
+        for i in range(12):
+            order = [w for _ in range(n) for w in rng.sample(words, len(words))]
+            rows += [(1000 * n + i, " ".join(order)), (1000 * n + 500 + i, " ".join([*order[:3], order[4], order[3], *order[5:]]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    keyed = line_dedup.band_keys(docs).filter(F.col("a").isNotNull())
+    members = keyed.withColumn("root", F.col("a")).withColumn("top", F.lit(None).cast("long")).withColumn("top", F.max("a").over(Window.partitionBy("key")))
+    got = {(r["x"], r["y"]) for r in line_dedup._others(members, line_dedup.agree).collect()}
+    size = {r["a"]: r["n"] for r in keyed.select("a", "n").distinct().collect()}
+    fit = lambda m, n: abs(m - n) <= int(max(m, n) * 0.2 + 1e-9)
+    assert got == {(x, y) for x in size for y in size if x < y and fit(size[x], size[y])}
+    out = line_dedup.dedup_lines(docs, short=True, bands=True).collect()
+    assert {r["doc_id"]: r["n_dropped"] for r in out} == {i: int(i % 1000 >= 500) for i, _ in rows}
+
+
 def test_near_lines_are_found(spark, tmp_path):
     """Pairs of edit similarity 0.8 or more, by brute force, of lines of several lengths: nearly all lose the later line."""
 
