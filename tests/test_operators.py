@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import random
 from collections import defaultdict
 
@@ -9,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallysift.functions import scalar
-from tallysift.operators import blocks, neardup, proposals, quality, sweep, validate, windows
+from tallysift.operators import blocks, components, neardup, proposals, quality, sweep, validate, windows
 from tallysift.operators.components import connected_components
 from tallysift.session import settle
 from tallysift.streaming import alarm
@@ -214,3 +215,31 @@ def test_early_stop(spark):
 def test_random_split_size(spark):
     keys = spark.range(3)
     assert quality.random_split(keys, "id").filter("side = 'val'").count() == 1
+
+
+def test_small_components_are_one_task_a_round(spark, monkeypatch):
+    """Graphs of few edges are not dealt out to all partitions in each round; larger ones are, with equal results."""
+    settle, parts = components.settle, []
+
+    def counted(df, name):
+        out = settle(df, name)
+        parts.append(sum(f.endswith(".parquet") for f in os.listdir(out._settled_at.removeprefix("file://").removeprefix("file:"))))
+        return out
+
+    monkeypatch.setattr(components, "settle", counted)
+    conf = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.shuffle.partitions": "5"}
+    before = {k: spark.conf.get(k) for k in conf}
+    edges = spark.createDataFrame([(i, i + 1) for i in range(60) if i % 20 != 19] + [(90, 90), (None, 3)], "src long, dst long")
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        found = []
+        for few in (components.FEW, 0):
+            monkeypatch.setattr(components, "FEW", few)
+            found.append(({(r["node"], r["root"]) for r in components.connected_components(edges).collect()}, parts[1:]))
+            parts.clear()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert found[0][0] == found[1][0] == {(i, i // 20 * 20) for i in range(60)} | {(90, 90)}
+    assert set(found[0][1]) == {1} and max(found[1][1]) > 1
