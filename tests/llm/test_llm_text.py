@@ -353,6 +353,32 @@ def test_lines_of_other_lengths_are_no_candidates(spark):
     assert {r["doc_id"]: r["n_dropped"] for r in out} == {i: int(i % 1000 >= 500) for i, _ in rows}
 
 
+def test_band_keys_make_no_row_a_word(spark):
+    """MinHashes are those of all words and pieces, in plain Python; no word becomes a row on the way."""
+    rng = random.Random(14)
+    lines = [prose(rng, n) for n in (3, 5, 9, 40)] + ["one two three four five", "a b c d", "x" * 17 + " y", "a" * 16 + " bcd efg", "你好世界你好 and then 你好 some more", "naïve façade été ÀÉÎÕÜÇ last"]
+    docs = spark.createDataFrame([(i, x) for i, x in enumerate(lines)], "doc_id long, text string")
+    keyed = line_dedup.band_keys(docs)
+    plan = keyed._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Generate") == 2  # lines, and keys
+
+    def pieces(w):
+        odd = len(w) >= 17 or re.search(r"[^\x00-\x7f]{6}", w)
+        return [w[i : i + 3] for i in range(len(w) - 2)] if odd else [w]
+
+    norm = [re.sub(r"[\W_]+", " ", x.lower()).strip() for x in lines]
+    want = [(n, [p for w in n.split() for p in pieces(w)]) for n in norm if len(n.split()) >= 5 or len(n) >= 20]
+    words = spark.createDataFrame([(p,) for p in {p for _, ps in want for p in ps}], "w string").select("w", F.hash("w").alias("h"))
+    h = {r["w"]: r["h"] for r in words.collect()}
+    masks = [((i + 1) * 0x9E3779B97F4A7C15 >> 13) % (1 << 32) - (1 << 31) for i in range(21)]
+    rows = [(n, len(n), *[min(h[p] ^ m for p in ps) for m in masks]) for n, ps in want]
+    mins = spark.createDataFrame(rows, "norm string, n int, " + ", ".join(f"m{i} int" for i in range(21)))
+    keys = [F.xxhash64(F.lit(i), *[f"m{(i + s) % 21}" for s in line_dedup.STEPS]) for i in range(21)]
+    made = mins.select(F.xxhash64("norm").alias("a"), "n", F.explode(F.array(*keys)).alias("key")).collect()
+    assert {(r["a"], r["n"], r["key"]) for r in keyed.select("a", "n", "key").collect()} == {tuple(r) for r in made}
+    assert len(made) >= 21 * 7
+
+
 def test_near_lines_are_found(spark, tmp_path):
     """Pairs of edit similarity 0.8 or more, by brute force, of lines of several lengths: nearly all lose the later line."""
 
